@@ -50,6 +50,11 @@ def _splitter() -> re.Pattern:
     return re.compile(f"{words}| ?[{letters}]+| ?[{numbers}]+| ?[^{WHITE}{letters}{numbers}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+@lru_cache(maxsize=1)
+def _white_space() -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
+
+
 def _byte_of_symbol() -> dict[str, int]:
     """Byte-level vocabularies write the bytes that are printable in Latin-1 as themselves, the others from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -89,7 +94,10 @@ class PrefixCounter:
         self.texts = {n: t for t, n in self.tokens.items()} | {-1: b""}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(plain(a), plain(b)): n for n, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.tokens))
+        self.reach: dict[bytes, int] = {}  # how long a token with these last three bytes can be
+        for t in self.tokens:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.split = _splitter().findall
         self.stable = _Memo(self._is_stable, PAIR_MEMO)
         self.chunk = _Memo(lambda text: sum(map(self.whole.__getitem__, self.split(text))))
@@ -113,10 +121,10 @@ class PrefixCounter:
 
     def piece(self, text: bytes) -> list[int]:
         """Token counts of the prefixes of length 0, 1, ... of one pre-token."""
-        find, stable, longest = self.tokens.get, self.stable, self.longest
+        find, stable, reach = self.tokens.get, self.stable, self.reach.get
         last, count = [-1 << 32], [0]
         for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach(text[max(0, end - 3) : end], 2)), end):
                 token = find(text[start:end])
                 if token is not None and stable[last[start] | token]:
                     last.append(token << 32)
@@ -161,7 +169,7 @@ class PrefixIndex:
     """Counts at the ends of all pre-tokens of a text; answers for any prefix of it, in code points."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
+        self.counter, self.text, self.held = counter, text, ("", [0])
         self.segments, pieces, at = [], [], 0
         for m in counter.specials.finditer(text) if counter.specials else ():
             self.segments.append((at, m.start(), m.end()))
@@ -180,21 +188,36 @@ class PrefixIndex:
         low, high, end = self.segments[bisect_right(self.segments, length, key=lambda s: s[0]) - 1]
         if high < length < end:  # inside an added token, whose beginning is ordinary text
             return self.counts[bisect_left(self.ends, low)] + self.counter.count(self.text[low:length])
-        if length == end and length != high:
+        if length == low:  # at the end of an added token
             return self.counts[bisect_left(self.ends, length)]
-        start = length
-        while start > low and re.match(f"[{WHITE}]", self.text[start - 1]):
-            start -= 1
-        if start == length:  # the prefix ends in a pre-token that isn't white space
-            start = max(low, self.ends[bisect_left(self.ends, length) - 1])
-        return self.counts[bisect_left(self.ends, start)] + self.counter._unstored(self.text[start:length])
+        k = bisect_left(self.ends, length)
+        if not self._white(length - 1):  # the prefix ends in a pre-token that isn't white space
+            return self.counts[k - 1] + self._inside(self.text[self.ends[k - 1] : self.ends[k]], length - self.ends[k - 1])
+        while self.ends[k - 1] > low and self._white(self.ends[k - 1] - 1):
+            k -= 1
+        start = self.ends[k - 1]
+        stop = length
+        while stop < high and self._white(stop):
+            stop += 1
+        return self.counts[k - 1] + self._inside(self.text[start:stop], length - start)
+
+    def _white(self, at: int) -> bool:
+        return self.text[at] in _white_space()
+
+    def _inside(self, text: str, length: int) -> int:
+        """Tokens of the first code points of a pre-token or a run of white space."""
+        if text[0] == "'":  # may be a contraction, whose beginning isn't one
+            return self.counter._unstored(text[:length])
+        if self.held[0] != text:
+            self.held = text, self.counter.piece(text.encode("utf-8", "surrogatepass"))
+        return self.held[1][len(text[:length].encode("utf-8", "surrogatepass"))]
 
     def fit(self, budget: int) -> int:
         """Length of the longest prefix of at most ``budget`` tokens."""
         if self.counts[-1] <= budget:
             return len(self.text)
         k = bisect_right(self.counts, max(0, budget))
-        while k < len(self.counts) - 1 and (self.counts[k] <= budget + 1 or self.text[self.ends[k] - 1].isspace()):
+        while k < len(self.counts) - 1 and self._white(self.ends[k] - 1):  # a longer run of white space may need fewer tokens
             k += 1
         for length in range(self.ends[k], -1, -1):
             if self.at(length) <= budget:
