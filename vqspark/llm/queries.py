@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqspark.llm import lattice, simhash, tokens, urlfilter, warc
+from vqspark.llm import chat, lattice, mixing, simhash, tokens, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,14 +83,50 @@ WITH r(r_host, r_path, r_verdict) AS (
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+CONTROL_TALK = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.union(more)))
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+), n AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '\|</?s>|<</?SYS>>|\[/?INST\]')) + 20 AS size FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_duplicates": op1_lattice_duplicates,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_warc_revisits": op4_warc_revisits,
+    "op6_chat_paths": op6_chat_paths,
+    "op8_source_mix": op8_source_mix,
     "op9_url_rules": op9_url_rules,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
+    "op6_chat_paths": OP6_SQL,
+    "op8_source_mix": mixing.mix_sql(),
     "op9_url_rules": OP9_SQL,
 }
