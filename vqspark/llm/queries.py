@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqspark.llm import chat, lattice, mixing, simhash, tokens, urlfilter, warc
+from vqspark.llm import chat, lattice, leaks, mixing, simhash, tokens, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"), "verbatim")
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -117,6 +122,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_duplicates": op1_lattice_duplicates,
+    "op2_template_leaks": op2_template_leaks,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_chat_paths": op6_chat_paths,
