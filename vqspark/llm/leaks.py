@@ -11,7 +11,6 @@ and so are questions that were given other numbers, names or units.
 from __future__ import annotations
 
 import re
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,15 +38,15 @@ BROADCAST_WINDOWS = 2_000_000
 
 # ---------------------------------------------------------------- templates
 def _capitals() -> str:
-    """All capital letters, by their property, for a character class."""
-    found = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() or c.istitle()]
+    """All capital letters of the basic plane, by their property, for a character class."""
+    found = [c for c in map(chr, range(0x10000)) if c.isupper() or c.istitle()]
     return "".join(map(re.escape, found))
 
 
 @lru_cache(maxsize=1)
 def _slot_signs() -> re.Pattern:
-    """Occurs in each text that has numbers or names."""
-    return re.compile(rf"[\d{_capitals()}](?:(?<=\d)|(?<=[\w,] .))")
+    """Occurs in each text that has numbers or names; any letter beyond the basic plane may begin a name."""
+    return re.compile(rf"\d| (?:[{_capitals()}]|[\U00010000-\U0010ffff])(?<=[\w,] .)")
 
 
 def templates(text: str) -> tuple[list[str], list[str], list[str | None]]:
