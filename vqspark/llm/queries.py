@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqspark.llm import chat, lattice, leaks, mixing, simhash, tokens, urlfilter, warc
+from vqspark.llm import chat, lattice, leaks, mixing, simhash, tokens, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,10 @@ WITH r(r_host, r_path, r_verdict) AS (
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 CONTROL_TALK = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_template_leaks": op2_template_leaks,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_paths": op6_chat_paths,
     "op8_source_mix": op8_source_mix,
     "op9_url_rules": op9_url_rules,
