@@ -63,10 +63,10 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     order = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "leaf")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
 
-    members = ranked.select("tree_id", F.col("leaf").alias("path"), "rank", "depth", F.col("leaf").alias("node_id"))
+    members = cut(ranked.select("tree_id", F.col("leaf").alias("path"), "rank", "depth", F.col("leaf").alias("node_id")))
     for k, hop in enumerate(hops):  # after this, all nodes less than 2 ** (k + 1) above the leaf are in
         higher = members.join(hop, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
-        members = members.union(higher.select("tree_id", "path", "rank", (F.col("depth") - (1 << k)).cast("int"), F.col("up").alias("node_id")))
+        members = cut(members.union(higher.select("tree_id", "path", "rank", (F.col("depth") - (1 << k)).cast("int"), F.col("up").alias("node_id"))))
     return members
 
 
