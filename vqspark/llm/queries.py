@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqspark.llm import chat, lattice, leaks, mixing, simhash, tokens, toxicity, urlfilter, warc
+from vqspark.llm import chat, lattice, leaks, lmscore, mixing, simhash, tokens, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,12 @@ FROM n GROUP BY conv_id
 """
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are documents labelled as of high quality, the background all documents."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1")
+    return lmscore.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_revisits": op4_warc_revisits,
     "op5_toxicity": op5_toxicity,
     "op6_chat_paths": op6_chat_paths,
+    "op7_lm_scores": op7_lm_scores,
     "op8_source_mix": op8_source_mix,
     "op9_url_rules": op9_url_rules,
     "op10_token_counts": op10_token_counts,
