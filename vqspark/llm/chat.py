@@ -8,6 +8,8 @@ tree, and the messages of the chosen paths are gathered with the same pointers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,17 +50,20 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     leaves = at.join(at.select(F.col("tree_id").alias("t"), F.col("up").alias("p")).where("p is not null").distinct(), F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
     leaves = leaves.select("tree_id", F.col("node_id").alias("leaf"))
 
-    hops, state, left = [], at, None
+    hops, done, live, left = [], [], at, None
     for _ in range(MAX_ROUNDS):
-        todo = state.where("up is not null").count()
+        done.append(live.where("up is null"))  # has reached its root and isn't joined again
+        live = live.where("up is not null")
+        todo = live.count()
         if not todo or todo == left:  # what never ends is a cycle
             break
         left = todo
-        hops.append(state.where("up is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up"))
-        above = state.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("sum").alias("add"))
-        state = state.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        state = cut(state.select("tree_id", "node_id", F.col("next").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), (F.col("sum") + F.coalesce("add", F.lit(0.0))).alias("sum")))
-    ends = state.where("up is null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("far").alias("depth"), F.col("sum").alias("total"))
+        hops.append(live.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up"))
+        above = reduce(DataFrame.union, done, live)
+        above = above.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("sum").alias("add"))
+        further = live.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        live = cut(further.select("tree_id", "node_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), (F.col("sum") + F.col("add")).alias("sum")))
+    ends = reduce(DataFrame.union, done).select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("far").alias("depth"), F.col("sum").alias("total"))
     ranked = leaves.join(ends, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n")))
     order = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "leaf")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
