@@ -1,0 +1 @@
+"""Vector quantization, lossless code compression and top-k search on Spark DataFrames."""
