@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from vqspark.functions import codes as C
 from vqspark.operators.codebook import Codebook
+from vqspark.operators.scan import _delta_distances, _query_blocks
 from vqspark.operators.tree import _key
 
 
 def masked(codes: DataFrame, m: int, differ: list[int]) -> DataFrame:
-    """``(vec_id, differ, comb, key)``: the code at each choice of sub-spaces, ``differ`` of them left out."""
-    entries = []
-    for d in differ:
-        for n, at in enumerate(combinations(range(m), m - d)):
-            entries.append(F.struct(F.lit(d).alias("differ"), F.lit(n).alias("comb"), F.array(*(F.col("code")[p] for p in at)).cast("array<int>").alias("key")))
-    return codes.select("vec_id", F.explode(F.array(*entries)).alias("e")).select("vec_id", "e.*")
+    """``(vec_id, differ, comb, key)``: the code at each choice of sub-spaces (the set bits of ``comb``), ``differ`` of them left out."""
+    combs = [sum(1 << p for p in at) for d in differ for at in combinations(range(m), m - d)]
+    rows = codes.select("vec_id", "code", F.explode(F.array(*map(F.lit, combs))).alias("comb"))
+    key = F.transform("code", lambda c, i: F.when(F.getbit("comb", i) == 1, c).otherwise(-1))
+    return rows.select("vec_id", (m - F.bit_count("comb")).alias("differ"), "comb", key.alias("key"))
 
 
 def groups(codes: DataFrame, m: int, differ: list[int]) -> DataFrame:
@@ -143,35 +143,39 @@ def spanning_forest(codes: DataFrame, m: int, parts: int = 1, shards: int = 1) -
     return own.groupBy("strip", "shard").applyInArrow(run, schema)
 
 
+def _walk(shared, size: int):
+    def run(table: pa.Table) -> pa.Table:
+        queries, distances = shared.value
+        table = table.sort_by([("depth", "ascending"), ("vec_id", "ascending")])
+        strip = table.column("strip")[0].as_py()
+        vec = table.column("vec_id").to_numpy()
+        code = np.array(table.column("code").to_pylist()).reshape(len(vec), -1)
+        place = {v: i for i, v in enumerate(vec.tolist())}
+        parent = np.array([max(0, place.get(p, -1)) for p in table.column("parent_id").to_pylist()])
+        own = distances[strip * size : strip * size + code.shape[1]]
+        d = _delta_distances(code, parent, table.column("depth").to_numpy(), code != code[parent], own)
+        return pa.table({"query_id": np.tile(queries, len(vec)), "vec_id": np.repeat(vec, len(queries)), "d": d.reshape(-1)})
+
+    return run
+
+
 def forest_scan(forest: DataFrame, book: Codebook, queries: DataFrame, parts: int) -> DataFrame:
     """``(query_id, vec_id, dist)``: nearest code by sums of differences down the trees of all strips.
 
-    One join with the parents for each level, for all queries at once.
+    Each tree is one task's; for all queries of a block at once, a level's
+    distances are those of the parents and what the changed ids add. With several
+    strips, their distances are added by query and code.
     """
-    from vqspark.operators.scan import adc_table
-
     c = book.config
-    size, k = -(-c.m // parts), book.centroids.shape[1]
+    size = -(-c.m // parts)
     kind = "bigint" if c.domain == "int" else "double"
-    table = adc_table(queries, book).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("m", "k", "d"))).alias("dt"))
-    table = table.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", F.transform("dt", lambda x: x["d"]).alias("dt")))).alias("tables"))
-    rows = forest.join(F.broadcast(table))  # one row
-    cell = lambda dt, m, cid: F.element_at(dt, ((F.col("strip") * size + m) * k + cid + 1).cast("int"))
-    zero = F.lit(0).cast(kind)
-    whole = F.transform("tables", lambda q: F.aggregate(F.transform("code", lambda x, i: cell(q["dt"], i, x)), zero, lambda s, x: s + x))
-    step = F.transform("tables", lambda q: F.aggregate("diffs", zero, lambda s, x: s + cell(q["dt"], x["m"], x["to_cid"]) - cell(q["dt"], x["m"], x["from_cid"])))
-    rows = rows.select("strip", "shard", "parent_id", "vec_id", "depth", F.transform("tables", lambda q: q["query_id"]).alias("queries"), F.when(F.col("depth") == 0, whole).alias("own"), step.alias("step"))
-    deepest = forest.agg(F.max("depth")).first()[0] or 0
-    level = rows.where("depth = 0").select("strip", "shard", "vec_id", "queries", "own")
-    out = level
-    for d in range(1, deepest + 1):
-        above = level.select("strip", "shard", F.col("vec_id").alias("parent_id"), F.col("own").alias("above"))
-        level = rows.where(F.col("depth") == d).drop("own").join(above, ["strip", "shard", "parent_id"])
-        level = level.select("strip", "shard", "vec_id", "queries", F.zip_with("above", "step", lambda a, b: a + b).alias("own"))
-        if d % 4 == 0:
-            level = level.persist()
-        out = out.union(level)
-    flat = out.select("vec_id", F.explode(F.arrays_zip(F.col("queries").alias("query_id"), F.col("own").alias("d"))).alias("x")).select("vec_id", "x.query_id", "x.d")
-    sums = flat.groupBy("query_id", "vec_id").agg(F.sum("d").alias("dist"))
+    out = None
+    for ids, q in _query_blocks(queries, c):
+        shared = forest.sparkSession.sparkContext.broadcast((ids, np.ascontiguousarray(book.distances(q).transpose(1, 2, 0))))
+
+        part = forest.select("strip", "shard", "parent_id", "vec_id", "depth", "code").groupBy("strip", "shard")
+        part = part.applyInArrow(_walk(shared, size), f"query_id long, vec_id long, d {kind}")
+        out = part if out is None else out.union(part)
+    sums = out.groupBy("query_id", "vec_id").agg(F.sum("d").alias("dist"))
     best = sums.groupBy("query_id").agg(F.min(F.struct("dist", "vec_id")).alias("x"))
     return best.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.dist").alias("dist"))

@@ -266,8 +266,9 @@ def decode_by_levels(delta: DataFrame, m: int) -> DataFrame:
 
 def largest_group_chains(codes: DataFrame, m: int, differ: int) -> DataFrame:
     """``(parent_id, vec_id)``: each code joins its largest group at this number of differing sub-spaces; groups are chained by id."""
-    keys = [F.struct(F.lit(n).alias("comb"), F.array(*(F.col("code")[p] for p in at)).cast("array<int>").alias("key")) for n, at in enumerate(combinations(range(m), m - differ))]
-    rows = codes.select("vec_id", F.explode(F.array(*keys)).alias("g"))
+    combs = [sum(1 << p for p in at) for at in combinations(range(m), m - differ)]
+    key = F.transform("code", lambda c, i: F.when(F.getbit("comb", i) == 1, c).otherwise(-1))
+    rows = codes.select("vec_id", "code", F.explode(F.array(*map(F.lit, combs))).alias("comb")).select("vec_id", F.struct("comb", key.alias("key")).alias("g"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     best = rows.join(sizes, "g").groupBy("vec_id").agg(F.max_by("g", F.struct("size", -F.col("g.comb"), "g.key")).alias("g"))
     before = F.lag("vec_id").over(Window.partitionBy("g").orderBy("vec_id"))
