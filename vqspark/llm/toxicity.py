@@ -39,7 +39,7 @@ def _stream(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pad = bytes(max(SIZES) - 1)
     whole = pad + b"".join(t + pad for t in texts)
     lengths = np.array([len(t) + len(pad) for t in texts])
-    ends = np.cumsum(lengths) + len(pad)
+    ends = np.cumsum(lengths)  # the zeros before a text are its own; those after the last one are nobody's
     data = np.frombuffer(whole, np.uint8)
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK + max(SIZES) - 1].astype(np.uint64)
@@ -64,7 +64,7 @@ def _present(texts: list[bytes], chosen: np.ndarray) -> tuple[np.ndarray, np.nda
     found = []
     for owner, feature in _stream(texts):
         column = chosen[feature]
-        hit = np.nonzero(column >= 0)[0]
+        hit = np.nonzero((column >= 0) & (owner < len(texts)))[0]
         found.append(_distinct((owner[hit].astype(np.int64) << 32) | column[hit]))
     found = _distinct(np.concatenate(found))
     return found >> 32, found & 0xFFFFFFFF
@@ -99,7 +99,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = labels[at : at + len(group)]
             at += len(group)
             pairs = _distinct(np.concatenate([_distinct((o.astype(np.int64) << BITS) | f) for o, f in _stream(group)]))
-            toxic = own[np.minimum(pairs >> BITS, len(own) - 1)]
+            pairs = pairs[: np.searchsorted(pairs, len(own) << BITS)]
+            toxic = own[pairs >> BITS]
             feature = pairs & ((1 << BITS) - 1)
             for y in (0, 1):
                 counts[y] += np.bincount(feature[toxic == y], minlength=1 << BITS)
@@ -141,7 +142,7 @@ def _score(features: np.ndarray, weights: np.ndarray, bias: float):
             sums = []
             for group in _groups(texts):
                 who, column = _present(group, chosen)
-                sums.append(np.bincount(np.minimum(who, len(group) - 1), weights[column], len(group))[: len(group)])
+                sums.append(np.bincount(who, weights[column], len(group)))
             total = np.concatenate(sums) + bias if sums else np.empty(0)
             score = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
