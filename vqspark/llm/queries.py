@@ -108,7 +108,7 @@ WITH c AS (
 ), t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
 ), n AS (
-  SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '\|</?s>|<</?SYS>>|\[/?INST\]')) + 20 AS size FROM t
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '\\|</?s>|<</?SYS>>|\[/?INST\]')) + 20 AS size FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
