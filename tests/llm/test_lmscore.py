@@ -68,6 +68,26 @@ def test_against_plain(spark, words, bigrams):
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in found)
 
 
+@pytest.mark.parametrize("hot", [0, 9, lmscore.HOT])
+def test_no_caps(spark, hot):
+    """More words and bigrams than were kept at most, each twice in the target, are all known; what is sent and what is joined add up alike."""
+    n = (1 << 17) + 5_000
+    texts = [" ".join(f"w{i}" for i in range(at, min(n, at + 1000))) for at in range(0, n, 1000)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(-1, "never seen words"), (None, "w5 w6 w9"), (-2, "w5 w6 w9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    ids = spark.createDataFrame([(i,) for i in range(2 * len(texts))], "doc_id long")
+    found = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, ids, hot=hot).collect()}
+    assert len(found) == len(rows) and found[-2].target_loss == pytest.approx(found[None].target_loss)
+    size, tokens = n + 2 + 2 * n + 2 * len(texts), 2 * n
+    known, end = 3 / size, (2 * len(texts) + 1) / size
+    begin = lmscore.LAMBDA * 2 / (2 * len(texts))
+    left = 1 - lmscore.LAMBDA
+    words = len(texts[0].split())
+    want = -(math.log(begin + left * known) + (words - 1) * math.log(lmscore.LAMBDA + left * known) + math.log(lmscore.LAMBDA + left * end)) / (words + 1)
+    assert tokens == sum(found[i].n_tokens - 1 for i in range(2 * len(texts)))
+    assert found[0].target_loss == pytest.approx(want) and found[0].target_loss < 0.6 < found[-1].target_loss
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 

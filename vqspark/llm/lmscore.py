@@ -2,29 +2,39 @@
 
 Both models share one vocabulary and one inventory of bigrams, so their losses
 differ by what the corpora say and not by what they left out. Counts cover all
-documents. Vocabulary and inventory are as large as fits two parameters: the
-count a word or bigram must have in the target is the least that keeps within
-them, other words are one unknown word, other bigrams are left to the unigrams.
+documents. Vocabulary and inventory are all words and bigrams that occur twice in
+the target; other words are one unknown word, other bigrams are left to the
+unigrams. So they grow with the input, as written tables keyed by 64-bit hashes.
+
+A text's loss is a sum over its features: -log(backoff * unigram) splits by words,
+and a listed bigram adds -log(1 + ratio / (backoff * unigram)). The features that
+occur most are sent to the tasks, so none that is joined by a shuffle is frequent;
+both give the same sum.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vqspark.llm.graph import cut
 
-#: Most words (up to 40 bytes each) and bigrams in the models; they bound what is sent to every task.
-WORDS, BIGRAMS = 1 << 17, 1 << 20
+#: Longer words are unknown.
 LONGEST = 40
+#: Features (24 bytes each) that are sent to every task; the others are joined.
+HOT = 1 << 20
+#: Least and most bits of the map that keeps features which no model has out of the shuffles.
+MAP_BITS = (16, 28)
 #: Weight of the bigrams against the unigrams.
 LAMBDA = 0.6
 UNKNOWN, BEGIN, END = 0, 1, 2
+#: Hashes that stand for the beginning and the end of a text, and the key under which tokens are counted.
+BEGIN_HASH, END_HASH, TOKENS = -0x61C8864680B583EB, 0x2545F4914F6CDD1D, 0x1D8E4E27C47D124F
 FLUSH = 1 << 20
 BROADCAST_ROWS = 1_000_000
 #: Lower-cases ASCII letters and turns ASCII punctuation into spaces.
@@ -35,72 +45,92 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    target, background = Counter(), Counter()
+class _Hashes(dict):
+    """64-bit hash of each word, remembered for those seen lately."""
 
-    def flush():
-        words = list(background)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([target[w] for w in words], pa.int64()), pa.array(background.values(), pa.int64())], names=["word", "target", "background"])
-        target.clear()
-        background.clear()
-
-    for batch in batches:
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = words_of(text.as_py())
-            background.update(words)
-            if wanted:
-                target.update(words)
-            if len(background) > FLUSH // 2:
-                yield from flush()
-    yield from flush()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH // 4:
+            self.clear()
+        value = self[word] = UNKNOWN if len(word) > LONGEST else int(np.uint64(xxhash.xxh64_intdigest(word) or 1).view(np.int64))
+        return value
 
 
-class Vocabulary:
-    """Word numbers from 3 on; counts of each number in the two corpora."""
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of the bigram of two words; that of a word alone is its hash."""
+    return ((a << 1) | ((a >> 63) & 1)) ^ b
 
-    def __init__(self, words: list[bytes], target: np.ndarray, background: np.ndarray):
-        self.words, self.counts = words, (target, background)
-        self.number_of = {w: i + 3 for i, w in enumerate(words)}
 
-    def pairs(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of a text with its end, and the same moved by one with its beginning."""
-        get = self.number_of.get
-        own = np.array([*[get(w, UNKNOWN) for w in words_of(text)], END], np.int64)
-        return np.concatenate([[BEGIN], own[:-1]]), own
+def _chunks(batches: Iterator[pa.RecordBatch], most: int):
+    """``(ids, n_words, row, a, b)`` for runs of texts: for each pair of neighbours its text's place in the run and the hashes.
 
+    ``b`` of a text's last pair is its end, and ``a`` of its first its beginning.
+    """
+    hash_of = _Hashes()
+    get = hash_of.__getitem__
+    ids, sizes, held, size = [], [], [], 0
+
+    def whole():
+        n = np.array(sizes, np.int64)
+        b = np.concatenate(held) if held else np.empty(0, np.int64)
+        a = np.empty_like(b)
+        a[1:] = b[:-1]
+        a[(np.cumsum(n + 1) - n - 1)] = BEGIN_HASH
+        return ids, n, np.repeat(np.arange(len(n)), n + 1), a, b
 
-def _count_bigrams(vocabulary, inventory):
-    """Counts of all bigrams of known words, or, with an inventory, of its own."""
+    for batch in batches:
+        others = list(zip(*(c.to_pylist() for c in batch.columns[1:]))) or [None] * batch.num_rows
+        for key, text in zip(others, batch.column(0)):
+            words = words_of(text.as_py())
+            ids.append(key)
+            sizes.append(len(words))
+            held.append(np.array([*map(get, words), END_HASH], np.int64))
+            size += len(words) + 1
+            if size > most:
+                yield whole()
+                ids, sizes, held, size = [], [], [], 0
+    if ids:
+        yield whole()
+
+
+def _count_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b, n)`` of words (a is 0) and bigrams of known hashes."""
+    for _, sizes, _, a, b in _chunks(batches, FLUSH):
+        words, n = np.unique(b[(b != END_HASH) & (b != UNKNOWN)], return_counts=True)
+        some = (a != UNKNOWN) & (b != UNKNOWN)
+        a, b = a[some], b[some]
+        order = np.argsort(keys := _pair_keys(a, b))
+        starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + 1))
+        first, times = order[starts], np.diff(starts, append=len(keys))
+        columns = [np.concatenate(x) for x in ((np.zeros(len(words), np.int64), a[first], [0]), (words, b[first], [TOKENS]), (n, times, [sizes.sum()]))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["a", "b", "n"])
+
+
+def _listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the map has the keys; true for all that a model has and few others."""
+    at = keys & ((len(bits) << 6) - 1)
+    return ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def _count_listed(bits):
+    """``(key, n)`` of the features that the map has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(*vocabulary.value)
-        keys = inventory.value if inventory else None
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            found = np.concatenate(held) if held else np.empty(0, np.int64)
-            found, n = np.unique(found, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["bigram", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                before, after = own.pairs(text.as_py())
-                key = ((before << 32) | after)[(before != UNKNOWN) & (after != UNKNOWN)]
-                if keys is not None:
-                    key = key[_found(keys, key)] if len(keys) else key[:0]
-                held.append(key)
-                size += len(key)
-                if size > 4 * FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        yield flush()
+        for _, sizes, _, a, b in _chunks(batches, FLUSH):
+            words, pairs = b[(b != END_HASH) & (b != UNKNOWN)], _pair_keys(a, b)[(a != UNKNOWN) & (b != UNKNOWN)]
+            keys, n = np.unique(np.concatenate([x[_listed(bits.value, x)] for x in (words, pairs)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, TOKENS)), pa.array(np.append(n, sizes.sum()))], names=["key", "n"])
 
     return run
 
 
-def _found(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+def _map_of(features: DataFrame, rows: int) -> np.ndarray:
+    width = min(max(MAP_BITS[0], (4 * rows).bit_length()), MAP_BITS[1])
+    at = F.col("key").bitwiseAND(F.lit((1 << width) - 1))
+    words = features.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (width - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits
 
 
 def _least_count(counts: DataFrame, column: str, most: int, least: int) -> int:
@@ -116,7 +146,7 @@ def _least_count(counts: DataFrame, column: str, most: int, least: int) -> int:
 
 
 class Models:
-    """Log probabilities of both models; everything is an array of bounded size."""
+    """Log probabilities of both models over few words, in memory."""
 
     def __init__(self, keys, ratios, backoff, unigram):
         self.keys, self.ratios, self.backoff, self.unigram = keys, ratios, backoff, unigram
@@ -147,55 +177,97 @@ def build_models(vocabulary, texts, unknown, keys, bigrams, weight=LAMBDA) -> Mo
     return Models(keys, ratios, backoff, unigram)
 
 
-def _score(vocabulary, models):
+def _score(bits, hot, base):
+    """A row for each text with its sums over sent features (n is 0), and one for each feature (n is 1) that is to be joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = Vocabulary(*vocabulary.value), models.value
-        for batch in batches:
-            found = []
-            for text in batch.column(0):
-                before, after = own.pairs(text.as_py())
-                found.append((len(after), *model.losses(before, after)))
-            n, a, b = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+        keys, *values = hot.value
+        for rows, sizes, at, a, b in _chunks(batches, FLUSH // 4):
+            sums = [start + sizes * each for start, each in base]
+            cold_rows, cold_keys = [], []
+            for key, some in ((b, (b != END_HASH) & (b != UNKNOWN)), (_pair_keys(a, b), (a != UNKNOWN) & (b != UNKNOWN))):
+                some &= _listed(bits.value, key)
+                order = np.argsort(key[some])  # keys in order are found much faster
+                key, row = key[some][order], at[some][order]
+                place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                for m in (0, 1):
+                    sums[m] = sums[m] + np.bincount(row[hit], values[m][place[hit]], len(sizes))
+                cold_rows.append(row[~hit])
+                cold_keys.append(key[~hit])
+            own, row, key = np.array([r for r, _ in rows], np.int64), np.concatenate(cold_rows), np.concatenate(cold_keys)
+            none = np.zeros(len(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own, own[row]])),
+                    pa.array(np.concatenate([own, key])),
+                    pa.array([*(d for _, d in rows), *[None] * len(row)], pa.int64()),
+                    pa.array(np.repeat([0, 1], [len(own), len(row)]).astype(np.int8)),
+                    pa.array(np.concatenate([sizes + 1, none.astype(np.int64)])),
+                    *(pa.array(np.concatenate([x, none])) for x in sums),
+                ],
+                names=["row", "key", "doc_id", "n", "n_tokens", "t", "b"],
+            )
 
     return run
 
 
-def learn(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, bigrams: int = BIGRAMS, id_col: str = "doc_id", text_col: str = "text"):
-    """Broadcasts of vocabulary and models. Target: the rows whose id is in ``target_ids``; background: all rows."""
-    spark = docs.sparkSession
-    ids = target_ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_wanted", F.lit(True))
+def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigrams: int | None = None, id_col: str = "doc_id", text_col: str = "text"):
+    """``(features, base)``: a written table ``(key, background, t, b)`` of what each feature adds to the losses, and
+    for each model what a text and an unknown word add. Target: the rows whose id is in ``target_ids``; background: all rows.
+
+    ``words`` and ``bigrams`` keep only so many of the most frequent; None keeps all.
+    """
+    ids = target_ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     own = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("_id"))
-    marked = own.join(F.broadcast(ids) if few else ids, "_id", "left").select("_text", F.coalesce("_wanted", F.lit(False)).alias("_wanted"))
-    sizes = marked.agg(F.count(F.when(F.col("_wanted"), 1)), F.count("*")).first()
-
-    counted = marked.mapInArrow(_count_words, "word binary, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    counted = cut(counted)
-    every = counted.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    named = counted.where(F.octet_length("word") <= LONGEST)
-    least = _least_count(named, "target", words, 2)
-    chosen = named.where(F.col("target") >= least).toArrow().sort_by("word")
-    target, background = (chosen.column(c).to_numpy().astype(np.int64) for c in ("target", "background"))
-    vocabulary = (chosen.column("word").to_pylist(), target, background)
-    unknown = (every[0] - int(target.sum()), every[1] - int(background.sum()))
-    shared = spark.sparkContext.broadcast(vocabulary)
-
     wanted = own.join(F.broadcast(ids) if few else ids, "_id", "left_semi").select("_text")
-    pairs = wanted.mapInArrow(_count_bigrams(shared, None), "bigram long, n long").groupBy("bigram").agg(F.sum("n").alias("n"))
-    pairs = cut(pairs)
-    least = _least_count(pairs, "n", bigrams, 2)
-    chosen = pairs.where(F.col("n") >= least).toArrow().sort_by("bigram")
-    keys, in_target = (chosen.column(c).to_numpy().astype(np.int64) for c in ("bigram", "n"))
-    inventory = spark.sparkContext.broadcast(keys)
-    everywhere = own.select("_text").mapInArrow(_count_bigrams(shared, inventory), "bigram long, n long").groupBy("bigram").agg(F.sum("n").alias("n")).toArrow().sort_by("bigram")
-    in_all = np.zeros(len(keys), np.int64)
-    in_all[np.searchsorted(keys, everywhere.column("bigram").to_numpy())] = everywhere.column("n").to_numpy()
-    models = build_models(vocabulary, (sizes[0], sizes[1]), unknown, keys, (in_target, in_all))
-    return shared, spark.sparkContext.broadcast(models)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, bigrams: int = BIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    texts = (wanted.count(), own.count())
+
+    tokens = (F.col("a") == 0) & (F.col("b") == TOKENS)
+    counted = cut(wanted.mapInArrow(_count_target, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("target")).where((F.col("target") >= 2) | tokens))
+    in_target = counted.where(tokens).agg(F.sum("target")).first()[0] or 0
+    known, pairs = counted.where((F.col("a") == 0) & ~tokens), counted.where("a <> 0")
+    if words is not None:
+        known = known.where(F.col("target") >= _least_count(known, "target", words, 2))
+        ends = known.select("b").union(docs.sparkSession.createDataFrame([(BEGIN_HASH,), (END_HASH,)], "b long"))
+        pairs = pairs.join(ends.withColumnRenamed("b", "a"), "a", "left_semi").join(ends, "b", "left_semi").select("a", "b", "target")
+    if bigrams is not None:
+        pairs = pairs.where(F.col("target") >= _least_count(pairs, "target", bigrams, 2))
+    turned = F.shiftleft("a", 1).bitwiseOR(F.shiftrightunsigned("a", 63))
+    key = turned.bitwiseXOR(F.col("b")).alias("key")
+    listed = known.unionByName(pairs).select("a", "b", "target", key)
+    if words is not None or bigrams is not None:
+        listed = cut(listed)
+    bits = docs.sparkSession.sparkContext.broadcast(_map_of(listed, listed.count()))
+
+    everywhere = own.select("_text").mapInArrow(_count_listed(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("background"))
+    both = cut(everywhere.join(listed, "key", "left").where(F.col("a").isNotNull() | (F.col("key") == TOKENS)).select("a", "b", "target", "background"))
+    in_all = both.where("a is null").agg(F.sum("background")).first()[0] or 0
+    known, pairs = both.where("a = 0"), both.where("a <> 0")
+    size, *sums = known.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
+    totals = [n + t + size + 2 for n, t in zip((in_target, in_all), texts)]
+
+    over = [F.lit(LAMBDA) * F.col(c) for c in ("target", "background")]
+    left = pairs.groupBy("a").agg(*(F.sum(x).alias(f"left{m}") for m, x in enumerate(over))).withColumnRenamed("a", "word")
+    ends = docs.sparkSession.createDataFrame([(BEGIN_HASH, *texts), (END_HASH, *texts)], "word long, c0 long, c1 long")
+    single = known.select(F.col("b").alias("word"), F.col("target").alias("c0"), F.col("background").alias("c1")).union(ends)
+    of = lambda m: F.greatest(F.col(f"c{m}"), F.lit(1))
+    single = single.join(left, "word", "left").select("word", *(x for m in (0, 1) for x in (of(m).alias(f"c{m}"), (1 - F.coalesce(f"left{m}", F.lit(0.0)) / of(m)).alias(f"backoff{m}"), ((F.col(f"c{m}") + 1) / totals[m]).alias(f"unigram{m}"))))
+    single = cut(single)
+    unknown = [float(np.log((n - s + 1) / t)) for n, s, t in zip((in_target, in_all), sums, totals)]
+    begin = single.where(F.col("word") == BEGIN_HASH).first()
+    base = [(float(-np.log(begin[f"backoff{m}"]) - np.log((texts[m] + 1) / totals[m])), -unknown[m]) for m in (0, 1)]
+
+    alone = single.where(~F.col("word").isin(BEGIN_HASH, END_HASH)).select(F.col("word").alias("key"), F.col("c1").alias("background"), *((unknown[m] - F.log(F.col(f"backoff{m}")) - F.log(F.col(f"unigram{m}"))).alias("tb"[m]) for m in (0, 1)))
+    first = single.select(F.col("word").alias("a"), "c0", "c1", "backoff0", "backoff1")
+    second = single.select(F.col("word").alias("b"), "unigram0", "unigram1")
+    ratios = pairs.join(first, "a").select("b", key, "background", *((over[m] / F.col(f"c{m}") / F.col(f"backoff{m}")).alias(f"over{m}") for m in (0, 1)))
+    joined = ratios.join(second, "b").select("key", "background", *((-F.log1p(F.col(f"over{m}") / F.col(f"unigram{m}"))).alias("tb"[m]) for m in (0, 1)))
+    return cut(alone.union(joined)), bits, base
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigrams: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, target_loss, background_loss, score``.
 
     Losses are nats per token, the end of the text included; ``score`` is their
@@ -203,9 +275,21 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     space and ASCII punctuation separate. A null text counts as empty: it has its
     end only. Null ids belong to the background only; repeated rows are counted
     and scored each; without a target its model is uniform. Other columns are not
-    looked at; an empty table gives an empty table.
+    looked at; an empty table gives an empty table. ``hot`` is the number of
+    features sent to the tasks and doesn't change the result.
     """
-    vocabulary, models = learn(docs, target_ids, words, bigrams, id_col, text_col)
-    own = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("doc_id"))
-    scored = own.mapInArrow(_score(vocabulary, models), "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    features, bits, base = learn(docs, target_ids, words, bigrams, id_col, text_col)
+    least = _least_count(features, "background", hot, 1)
+    chosen = features.where(F.col("background") >= least).select("key", "t", "b").toArrow().sort_by("key")
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(chosen.column(c).to_numpy() for c in ("key", "t", "b")))
+    own = docs.select(F.col(text_col).cast("binary").alias("_text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    scored = own.mapInArrow(_score(bits, sent, base), "row long, key long, doc_id long, n byte, n_tokens long, t double, b double")
+    cold = features.where(F.col("background") < least).select("key", F.col("t").alias("t1"), F.col("b").alias("b1"))
+    if cold.isEmpty():
+        sums = scored.where("n = 0")
+    else:
+        more = [(F.col(c) + F.col("n") * F.coalesce(f"{c}1", F.lit(0.0))).alias(c) for c in "tb"]
+        added = scored.join(cold, "key", "left").select("row", "doc_id", "n_tokens", *more)
+        sums = added.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    losses = sums.select("doc_id", "n_tokens", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
+    return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
