@@ -88,6 +88,15 @@ def test_no_caps(spark, hot):
     assert found[0].target_loss == pytest.approx(want) and found[0].target_loss < 0.6 < found[-1].target_loss
 
 
+def test_long_words_are_known(spark):
+    """A clause of an unspaced script is one word of many bytes; it counts as a short one does."""
+    rows = [(i, text.replace("x", word)) for word in ("火车从柏林出发开往汉堡中途不停站", "short") for i, text in ((len(word) * 100 + k, t) for k, t in enumerate(("x ja", "x nein", "ja x")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.target_loss, r.background_loss) for r in lmscore.cross_entropy_difference(docs, docs.select("doc_id")).collect()}
+    for k in range(3):
+        assert found[1600 + k] == pytest.approx(found[500 + k])
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 

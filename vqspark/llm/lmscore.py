@@ -14,6 +14,7 @@ both give the same sum.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from vqspark.llm.graph import cut
 
-#: Longer words are unknown.
-LONGEST = 40
+#: No length makes a word unknown: words are keyed by their hashes.
+LONGEST = sys.maxsize
 #: Features (24 bytes each) that are sent to every task; the others are joined.
 HOT = 1 << 20
 #: Least and most bits of the map that keeps features which no model has out of the shuffles.
@@ -51,7 +52,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > FLUSH // 4:
             self.clear()
-        value = self[word] = UNKNOWN if len(word) > LONGEST else int(np.uint64(xxhash.xxh64_intdigest(word) or 1).view(np.int64))
+        value = self[word] = int(np.uint64(xxhash.xxh64_intdigest(word) or 1).view(np.int64))
         return value
 
 
