@@ -52,6 +52,15 @@ def test_cases(spark, monkeypatch, bound):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _, x in cases() if not x), key=str) and kept.columns == docs.columns
 
 
+def test_templates_that_repeat():
+    """Such an item also meets itself some places on; these alignments don't count against the one that covers it."""
+    item = "Add 3 cups then add 4 cups then add 5 cups then stop."
+    own = leaks.Benchmark([(1, item)], 5)
+    assert own.leaks(item, 0.8) == [(1, 1.0, True)]
+    assert own.leaks("First " + item.replace("3", "6").replace("4", "7").replace("5", "8"), 0.8) == [(1, 1.0, False)]
+    assert own.leaks(item.replace("4", "3"), 0.8) == []  # one value stands for two
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

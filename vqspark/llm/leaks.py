@@ -166,22 +166,24 @@ def judge(on, sizes, item_slots, slots, window, share) -> list[tuple[int, float,
         if len(set().union(*(p for _, p in runs))) < share * sizes[item]:
             continue
         best = None
-        for shift, _ in runs:  # words put in or left out move an alignment by a few places
-            near = [(s, p) for s, p in runs if abs(s - shift) <= window]
-            covered = set().union(*(p for _, p in near))
-            if len(covered) < share * sizes[item]:
-                continue
+        for shift, _ in runs:
+            # words put in or left out move an alignment by a few places; what it covers alone is not looked up elsewhere
+            near = sorted(((s, p) for s, p in runs if abs(s - shift) <= window), key=lambda x: (abs(x[0] - shift), x[0]))
+            covered, taken = set(), set()
             forth, back, same, clash = {}, {}, True, False
             for s, places in near:
-                for place in {q for p in places for q in range(p, p + window)}:
+                fresh = {q for p in places - covered for q in range(p, p + window)} - taken
+                covered |= places
+                taken |= fresh
+                for place in fresh:
                     a, b = item_slots[item][place], slots[place + s] if slots and 0 <= place + s < len(slots) else None
                     if a is None or b is None:
                         continue
                     same &= a == b
                     clash |= forth.setdefault(a, b) != b or back.setdefault(b, a) != a
-            if not clash or same:
-                found = (len(covered) / sizes[item], same)
-                best = max(best, found) if best else found
+                if len(covered) >= share * sizes[item] and (not clash or same):
+                    found = (len(covered) / sizes[item], same)
+                    best = max(best, found) if best else found
         if best:
             out.append((item, *best))
     return sorted(out)
