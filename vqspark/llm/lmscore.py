@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqspark.llm.graph import cut
+from vqspark.llm.graph import cut, release
+from vqspark.llm.keymap import bit_map, listed
 
 #: No length makes a word unknown: words are keyed by their hashes.
 LONGEST = sys.maxsize
@@ -106,34 +107,18 @@ def _count_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["a", "b", "n"])
 
 
-def _listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the map has the keys; true for all that a model has and few others."""
-    at = keys & ((len(bits) << 6) - 1)
-    return ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
-
-
 def _count_listed(bits):
     """``(key, n)`` of the features that the map has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sizes, _, a, b in _chunks(batches, FLUSH):
             words, pairs = b[(b != END_HASH) & (b != UNKNOWN)], _pair_keys(a, b)[(a != UNKNOWN) & (b != UNKNOWN)]
-            keys, n = np.unique(np.concatenate([x[_listed(bits.value, x)] for x in (words, pairs)]), return_counts=True)
+            keys, n = np.unique(np.concatenate([x[listed(bits.value, x)] for x in (words, pairs)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, TOKENS)), pa.array(np.append(n, sizes.sum()))], names=["key", "n"])
 
     return run
 
 
-def _map_of(features: DataFrame, rows: int) -> np.ndarray:
-    width = min(max(MAP_BITS[0], (4 * rows).bit_length()), MAP_BITS[1])
-    at = F.col("key").bitwiseAND(F.lit((1 << width) - 1))
-    words = features.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (width - 6), np.int64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return bits
-
-
 def _least_count(counts: DataFrame, column: str, most: int, least: int) -> int:
     """The least count, ``least`` or more, that no more than ``most`` rows reach."""
     rows = counts.where(F.col(column) >= least).groupBy(column).agg(F.count("*").alias("rows")).sort(F.desc(column))
@@ -187,7 +172,7 @@ def _score(bits, hot, base):
             sums = [start + sizes * each for start, each in base]
             cold_rows, cold_keys = [], []
             for key, some in ((b, (b != END_HASH) & (b != UNKNOWN)), (_pair_keys(a, b), (a != UNKNOWN) & (b != UNKNOWN))):
-                some &= _listed(bits.value, key)
+                some &= listed(bits.value, key)
                 order = np.argsort(key[some])  # keys in order are found much faster
                 key, row = key[some][order], at[some][order]
                 place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
@@ -237,13 +222,16 @@ def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigr
         pairs = pairs.where(F.col("target") >= _least_count(pairs, "target", bigrams, 2))
     turned = F.shiftleft("a", 1).bitwiseOR(F.shiftrightunsigned("a", 63))
     key = turned.bitwiseXOR(F.col("b")).alias("key")
-    listed = known.unionByName(pairs).select("a", "b", "target", key)
+    listed_features = known.unionByName(pairs).select("a", "b", "target", key)
     if words is not None or bigrams is not None:
-        listed = cut(listed)
-    bits = docs.sparkSession.sparkContext.broadcast(_map_of(listed, listed.count()))
+        listed_features = cut(listed_features)
+    release(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(listed_features, "key", listed_features.count(), 4, *MAP_BITS))
 
     everywhere = own.select("_text").mapInArrow(_count_listed(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("background"))
-    both = cut(everywhere.join(listed, "key", "left").where(F.col("a").isNotNull() | (F.col("key") == TOKENS)).select("a", "b", "target", "background"))
+    both = cut(everywhere.join(listed_features, "key", "left").where(F.col("a").isNotNull() | (F.col("key") == TOKENS)).select("a", "b", "target", "background"))
+    del everywhere
+    release(docs.sparkSession)
     in_all = both.where("a is null").agg(F.sum("background")).first()[0] or 0
     known, pairs = both.where("a = 0"), both.where("a <> 0")
     size, *sums = known.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
@@ -280,6 +268,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     features sent to the tasks and doesn't change the result.
     """
     features, bits, base = learn(docs, target_ids, words, bigrams, id_col, text_col)
+    release(docs.sparkSession)
     least = _least_count(features, "background", hot, 1)
     chosen = features.where(F.col("background") >= least).select("key", "t", "b").toArrow().sort_by("key")
     sent = docs.sparkSession.sparkContext.broadcast(tuple(chosen.column(c).to_numpy() for c in ("key", "t", "b")))
