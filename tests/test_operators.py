@@ -1,12 +1,14 @@
 """Codes, trees, formats, metrics and sources on small and odd inputs."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vqspark import cli, sql
+from vqspark import cli, lineage, sql
 from vqspark.config import PQConfig
-from vqspark.operators import blocks, codebook, diffindex, encode, forest, metrics, scan, tree, update
+from vqspark.operators import blocks, bounds, codebook, diffindex, encode, forest, metrics, scan, tree, update
 from vqspark.sources import text, vecs
 from vqspark.streaming.append import append_vectors
 
@@ -51,6 +53,10 @@ def test_tree_is_a_tree_and_packs_without_loss(n, m, k, rule):
             back, parent, deep, _ = blocks.unpack_tree(payload, form, n, m)
             assert (back == code[order]).all() and (deep == depth[order]).all()
         assert len(blocks.pack_bytes(code[order], depth[order], changed)) == m + changed.sum() + (3 * (n - 1) + 1) // 2
+        rows = np.random.default_rng(2).integers(0, 256, (n, 12)).astype(np.uint8)
+        payload = blocks.pack_bytes(code[order], depth[order], changed, rows)
+        assert (blocks.unpack_tree(payload, "rows", n, m, 12)[0] == code[order]).all() and (blocks.unpack_rows(payload, n, m, 12) == rows).all()
+        assert (blocks.parents_of(depth[order]) == np.where(built.parent[order] < 0, -1, np.argsort(order)[built.parent[order]])).all()
         for how in ("center", "rotate"):
             assert (tree.recentred(built, how).parent < 0).sum() == 1
 
@@ -131,6 +137,111 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     assert scan.exact_knn(vectors.limit(0), queries, config, 3).count() == 0
 
 
+def test_query_groups_and_k_that_is_large(spark, monkeypatch):
+    """Several groups of queries, tables that aren't kept, ties, and more asked for than there is."""
+    rng = np.random.default_rng(8)
+    config = PQConfig(m=4, k=6, dim=8, domain="int")
+    vectors = spark.createDataFrame([(i, (rng.integers(-2, 3, 8) * 0.2).tolist()) for i in range(150)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    book = codebook.sampled(vectors, config)
+    codes = encode.encode(vectors, book)
+    own = {r.vec_id: r.code for r in codes.collect()}
+    tables = book.distances(np.array([r.v for r in codebook.prepared(vectors, config).sort("vec_id").collect()]))
+    dist = {q: sorted((int(sum(tables[q, m, c[m]] for m in range(4))), v) for v, c in own.items()) for q in range(40)}
+    for name, value in (("QUERY_BLOCK", 7), ("QUERY_GROUP", 14), ("TABLE_BYTES", 100)):
+        monkeypatch.setattr(scan, name, value)
+    for k in (3, 200):
+        want = sorted((q, rank, v, d) for q in dist for rank, (d, v) in enumerate(dist[q][:k], 1))
+        assert sorted(map(tuple, scan.plain_scan(codes.repartition(5), book, queries, k).collect())) == want
+        near, _ = codebook.relocated(book)
+        index = bounds.bound_index(encode.encode(vectors, near), 4, 3, blocks=3)
+        for how in ({"levels": [1]}, {"levels": [3], "by_bound": False}, {}):
+            assert sorted(map(tuple, bounds.bound_search(index, near, queries, 3, k, **how).collect())) == want
+    ends = {r.query_id: (r.least, r.most, r.total, r.n) for r in scan.distance_range(codes, book, queries).collect()}
+    assert ends == {q: (x[0][0], x[-1][0], sum(d for d, _ in x), 150) for q, x in dist.items()}
+    assert ends == {r.query_id: (r.least, r.most, r.total, r.n) for r in scan.running_range(diffindex.pack_index(codes, 4, rows=40), book, queries).collect()}
+    found = scan.code_scan(codes, book, codes.where("vec_id < 9").withColumnRenamed("vec_id", "query_id"), 1, alone=True).collect()
+    pairs = book.pairs()
+    for r in found:
+        assert (r.dist, r.vec_id) == min((int(sum(pairs[m][own[r.query_id][m], c[m]] for m in range(4))), v) for v, c in own.items() if v != r.query_id)
+
+
+def test_closest_pairs_against_all(spark):
+    book = book_of(5, 6, 2)
+    for code in (random_codes(90, 5, 6), random_codes(60, 5, 2)):
+        pairs = book.pairs()
+        found = forest.closest_pairs(frame(spark, code), book, 3).collect()
+        best = {}
+        for a in range(len(code)):
+            for b in range(a + 1, len(code)):
+                d = int(sum(pairs[m][code[a, m], code[b, m]] for m in range(5)))
+                for at in combinations(range(5), 2):
+                    if (code[a, at] == code[b, at]).all():
+                        key = (sum(1 << p for p in at), tuple(int(code[a, p]) if p in at else -1 for p in range(5)))
+                        best[key] = min(best.get(key, (d, a, b)), (d, a, b))
+        assert {(r.comb, tuple(r.key)): (r.dist, r.a, r.b) for r in found} == best
+
+
+def test_edge_strategies(spark):
+    book, code = book_of(4, 3), random_codes(40, 4, 3)
+    codes = frame(spark, code)
+    near = {(a, b) for a in range(40) for b in range(a + 1, 40) if (code[a] != code[b]).sum() <= 1}
+    found = {s: {(r.parent_id, r.vec_id) for r in forest.edges(codes, book, s, 1).collect()} for s in ("pairs", "star", "chain", "closest", "spanning")}
+    assert found["pairs"] == near and found["star"] <= near and found["chain"] <= near and found["closest"] <= near and len(found["spanning"]) == 39
+    with pytest.raises(ValueError):
+        forest.edges(codes, book, "other")
+
+
+def test_forest_scan_over_strips_and_shards(spark):
+    config = PQConfig(m=4, k=8, dim=8, domain="int")
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(3 * i, (rng.normal(size=8) * 0.3).tolist()) for i in range(120)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id < 250").withColumnRenamed("vec_id", "query_id")
+    book = codebook.sampled(vectors.withColumn("vec_id", F.expr("vec_id div 3")), config)
+    codes = encode.encode(vectors, book)
+    want = sorted(map(tuple, scan.plain_scan(codes, book, queries, 4).collect()))
+    for parts, shards in ((1, 1), (2, 3), (4, 2)):
+        own = forest.spanning_forest(codes, 4, parts, shards)
+        assert sorted(map(tuple, forest.forest_scan(own, book, queries, parts, 4).collect())) == want
+
+
+def test_vectors_without_a_code(spark):
+    config = PQConfig(m=2, k=2, dim=4, domain="int")
+    rows = [(0, [0.1, 0.2, 0.3, 0.4]), (1, [0.0] * 4), (2, None), (3, [0.1, None, 0.2, 0.3]), (4, [0.5]), (None, [0.1] * 4), (5, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    book = codebook.sampled(vectors, config)
+    codes = encode.encode(vectors, book)
+    assert sorted(r.vec_id for r in codes.collect()) == [0, 1]
+    assert scan.exact_knn(vectors, vectors.withColumnRenamed("vec_id", "query_id"), config, 3).count() == 4
+
+
+def test_running_totals(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "FAN", 7)
+    rows = spark.range(400).select("id", (F.col("id") * 13 % 31).alias("v"))
+    found = {r.id: r.total for r in lineage.running_total(rows, "id", "v").collect()}
+    total = 0
+    for i in range(400):
+        total += i * 13 % 31
+        assert found[i] == total
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert lineage.stored(spark, path, lambda: spark.range(3).toDF("x")).count() == 3
+    assert lineage.stored(spark, path, lambda: 1 / 0).count() == 3
+    lineage.remove(spark, path)
+    assert lineage.stored(spark, path, lambda: spark.range(5).toDF("x")).count() == 5
+
+
+def test_training_by_spark_ml(spark):
+    config = PQConfig(m=2, k=4, dim=6, iterations=5)
+    rng = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(120)], "vec_id long, embedding array<float>")
+    book = codebook.fit_ml(vectors, config)
+    assert book.centroids.shape == (2, 4, 3)
+    assert codebook.distortion(vectors, book) < codebook.distortion(vectors, codebook.sampled(vectors, config))
+
+
 def test_training_lowers_the_distortion(spark):
     config = PQConfig(m=4, k=8, dim=16, iterations=6)
     rng = np.random.default_rng(7)
@@ -161,6 +272,8 @@ def test_vector_files(spark, tmp_path, kind, monkeypatch):
     single = next((tmp_path / "out").glob(f"*.{kind}"))
     assert vecs.read_vectors(spark, str(single), top=9).count() == 9
     assert vecs.from_binary_files(spark, str(single), kind).count() == 50
+    assert sorted(map(tuple, vecs.read_vectors(spark, f"file://{single}").collect())) == rows
+    assert vecs.read_vectors(spark, f"file://{single}", top=9).count() == 9
     monkeypatch.setattr(vecs, "RANGE_BYTES", 40)
     ranges = vecs._Reader(kind, {"path": str(single)})
     parts = [b for p in ranges.partitions() for b in ranges.read(p)]
@@ -231,6 +344,16 @@ def test_command_line(spark, tmp_path, capsys):
     run("truth", "--vectors", path("v.parquet"), "--queries", path("q.parquet"), "--out", path("t"))
     run("evaluate", "--found", path("bytesf"), "--truth", path("t"))
     run("cost", "--codes", path("c"), "--codebook", path("b.txt"))
+    run("build", "--codes", path("c"), "--codebook", path("b.txt"), "--out", path("t1"), "--delta", path("d"))
+    run("build", "--codes", path("c"), "--codebook", path("b.txt"), "--out", path("t2"), "--delta", path("d"), "--format", "bits")
+    run("combine", "--codes", path("c"), "--others-codes", path("c"), "-n", "60", "--n-others", "7", "--out", path("c2"))
+    assert spark.read.parquet(path("c2")).count() == 67
+    spark.read.parquet(path("c2")).where("vec_id >= 60").write.parquet(path("c3"))
+    run("update", "--delta", path("d"), "--codes", path("c3"), "--codebook", path("b.txt"), "--out", path("t3"))
+    run("query", "--index", path("t3"), "--codebook", path("b.txt"), "--queries", path("q.parquet"), "--out", path("t3f"), "--memory", "--top", "100")
+    assert spark.read.parquet(path("t3f")).count() == 5 * 67
+    run("query", "--index", path("t1"), "--codebook", path("b.txt"), "--queries", path("q.parquet"), "--out", path("t1f"), "--first", "20", "--top", "100")
+    assert spark.read.parquet(path("t1f")).count() == 5 * 20
     assert "recall@10" in capsys.readouterr().out
     one, two = ([(r.query_id, r.rank, round(r.dist, 9)) for r in spark.read.parquet(path(f)).orderBy("query_id", "rank").collect()] for f in ("bytesf", "sequentialf"))
     assert one == two

@@ -27,11 +27,6 @@ def set_positions(bits: Column, m: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.getbit(bits, i) == 1)
 
 
-def masked_key(code: Column, positions: list[int]) -> Column:
-    """The code at some positions, as a grouping key."""
-    return F.array(*(code[p] for p in positions))
-
-
 def zcode(code: Column, m: int, bits: int) -> Column:
     """Bit planes of the ids interleaved: the first M bits are the highest bits of all ids, and so on."""
     out = F.lit(0).cast("long")

@@ -1,9 +1,12 @@
-"""Exact nearest code by bounds on bit prefixes of interleaved codes.
+"""Exact nearest codes by bounds on bit prefixes of interleaved codes.
 
-With a relocated codebook, codes that share the top bits of all ids lie in one
-bucket. A bucket's distance to a query lies between the sums of the least and
-greatest table distances of its id ranges, so buckets whose lower bound exceeds
-the best upper bound are never joined to the codes.
+With a relocated codebook, codes that share the top bits of all ids are near
+each other. An index keeps codes in the order of their interleaved bits, in
+blocks. A block is a tree whose level l has a node for each distinct choice of
+the top l bits of all ids; a node's distance to a query lies between the sums
+of the least and greatest table distances of its id ranges. A search goes down
+from the root and follows nodes whose lower bound doesn't exceed the best upper
+one. What it begins with comes from the codes around the query's own code.
 """
 
 from __future__ import annotations
@@ -13,56 +16,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqspark.operators.codebook import Codebook, matrix, prepared
-from vqspark.operators.scan import adc_table
+from vqspark.functions import codes as C
+from vqspark.operators.codebook import Codebook
+from vqspark.operators.scan import Best, _sums, in_blocks, query_rows, top_k
 
+#: Codes in a block of the index, and codes on each side that the first bound is taken from.
+BLOCK, AROUND = 32_768, 8
 
-def buckets(codes: DataFrame, level: int, bits: int) -> DataFrame:
-    """Codes with ``bucket``: the top ``level`` bits of each id."""
-    return codes.withColumn("bucket", F.transform("code", lambda c: F.call_function("shiftright", c, F.lit(bits - level)).cast("int")))
 
+def bound_index(codes: DataFrame, m: int, bits: int, blocks: int | None = None) -> DataFrame:
+    """``(vec_ids, payload)``: blocks of codes (one or two bytes an id) in the order of their interleaved bits.
 
-def bound_tables(queries: DataFrame, book: Codebook, level: int, bits: int) -> DataFrame:
-    """``(query_id, m, prefix, low, high)``: least and greatest table distance over the ids with a prefix."""
-    c = book.config
-    kind = "bigint" if c.domain == "int" else "double"
+    ``blocks``: how many, cut at quantiles of the first 62 interleaved bits; by default as many as give each about 32,768 codes.
+    """
+    if blocks is None:
+        blocks = max(1, -(-codes.count() // BLOCK))
+    top = min(bits, max(1, 62 // m))
+    order = C.zcode(F.transform("code", lambda c: F.call_function("shiftright", c, F.lit(bits - top))), m, top) if m <= 62 else F.col("code")[0].cast("long")
+    kind = "<u1" if bits <= 8 else "<u2"
 
     def run(batches):
+        rest: list[pa.RecordBatch] = []
+        held = 0
+
+        def flush():
+            table = pa.Table.from_batches(rest)
+            code = table.column("code").combine_chunks().flatten().to_numpy().reshape(-1, m)
+            ids = table.column("vec_id").combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([code.astype(kind).tobytes()], pa.binary())], names=["vec_ids", "payload"])
+
         for batch in batches:
-            table = book.distances(matrix(batch.column(1), c))
-            n, m, k = table.shape
-            groups = np.arange(k) >> (bits - level)
-            starts = np.nonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))[0]
-            low, high = np.minimum.reduceat(table, starts, axis=2), np.maximum.reduceat(table, starts, axis=2)
-            p = len(starts)
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, m * p)), pa.array(np.tile(np.repeat(np.arange(m, dtype=np.int32), p), n)), pa.array(np.tile(groups[starts].astype(np.int32), n * m)), pa.array(low.reshape(-1)), pa.array(high.reshape(-1))],
-                names=["query_id", "m", "prefix", "low", "high"],
-            )
-
-    own = prepared(queries, c, queries.columns[0], queries.columns[1])
-    return own.mapInArrow(run, f"query_id long, m int, prefix int, low {kind}, high {kind}")
-
-
-def bound_search(codes: DataFrame, book: Codebook, queries: DataFrame, level: int, bits: int) -> DataFrame:
-    """``(query_id, vec_id, dist)``: the nearest code of each query, the smallest id of equally near ones.
-
-    ``codes`` are over ``book``, whose ids should have been relocated. The tables
-    of bounds have queries * M * 2 ** level rows.
+            if batch.num_rows:
+                rest.append(batch)
+                held += batch.num_rows
+            if held >= BLOCK:
+                yield flush()
+                rest, held = [], 0
+        if rest:
+            yield flush()
+
+    own = codes.select("vec_id", "code").withColumn("z", order)
+    own = own.repartitionByRange(blocks, "z") if blocks > 1 else own.coalesce(1)
+    return own.sortWithinPartitions("z", "vec_id").select("vec_id", "code").mapInArrow(run, "vec_ids array<long>, payload binary")
+
+
+class _Block:
+    """Codes in order, and the first code of each node on each level."""
+
+    def __init__(self, ids: np.ndarray, code: np.ndarray, bits: int, levels: list[int]):
+        planes = np.concatenate([(code >> b) & 1 for b in range(bits - 1, -1, -1)], axis=1)
+        order = np.lexsort(planes.T[::-1])
+        self.ids, self.code, self.bits = ids[order], code[order], bits
+        self.levels = []
+        for level in levels:
+            prefix = self.code >> (bits - level)
+            first = np.nonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(axis=1)]))[0]
+            self.levels.append((level, first, prefix[first]))
+        self.by_code = np.packbits(planes[order], axis=1)
+
+    def around(self, own: np.ndarray) -> np.ndarray:
+        """Places of the codes next to each given code in the order."""
+        planes = np.packbits(np.concatenate([(own >> b) & 1 for b in range(self.bits - 1, -1, -1)], axis=1), axis=1)
+        name = np.dtype((np.void, planes.shape[1]))
+        known, asked = np.ascontiguousarray(self.by_code).view(name).reshape(-1), np.ascontiguousarray(planes).view(name).reshape(-1)
+        both = np.concatenate([known, asked])
+        rank = np.unique(both, return_inverse=True)[1].reshape(-1)
+        at = np.searchsorted(rank[: len(known)], rank[len(known) :])
+        return np.clip(at[:, None] + np.arange(-AROUND, AROUND), 0, len(known) - 1)
+
+
+def _ranges(table: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest entries of tables ``[M, K, queries]`` over ids with the same high bits."""
+    starts = np.arange(0, table.shape[1], 1 << shift)
+    return np.minimum.reduceat(table, starts, axis=1), np.maximum.reduceat(table, starts, axis=1)
+
+
+def bound_search(index: DataFrame, book: Codebook, queries: DataFrame, bits: int, k: int = 1, levels: list[int] | None = None, by_bound: bool = True) -> DataFrame:
+    """``(query_id, rank, vec_id, dist)``: the k nearest codes of each query, by distance and then id.
+
+    ``index`` is a :func:`bound_index` of codes over ``book``, whose ids should
+    have been relocated. ``levels`` are those looked at on the way down (1 to
+    ``bits``; all by default). ``by_bound`` looks at the nodes of the last level
+    by their lower bound and stops a query at its best; otherwise in the order
+    of the index. Each task returns its k best.
     """
-    inside = buckets(codes, level, bits)
-    bounds = bound_tables(queries, book, level, bits)
-    shapes = inside.select("bucket").distinct()
-    cells = shapes.select("bucket", F.posexplode("bucket").alias("m", "prefix"))
-    sums = cells.join(F.broadcast(bounds), ["m", "prefix"]).groupBy("query_id", "bucket").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
-    best = sums.groupBy("query_id").agg(F.min("high").alias("best"))
-    chosen = sums.join(best, "query_id").where("low <= best").select("query_id", "bucket")
-    table = adc_table(queries, book).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("m", "k", "d"))).alias("dt"))
-    table = table.select("query_id", F.transform("dt", lambda x: x["d"]).alias("dt"))
-    k = book.centroids.shape[1]
-    rows = inside.join(chosen, "bucket").join(F.broadcast(table), "query_id")
-    zero = F.lit(0).cast("bigint" if book.config.domain == "int" else "double")
-    dist = F.aggregate(F.transform("code", lambda c, i: F.element_at("dt", (i * k + c + 1).cast("int"))), zero, lambda s, x: s + x)
-    found = rows.select("query_id", "vec_id", dist.alias("dist")).groupBy("query_id").agg(F.min(F.struct("dist", "vec_id")).alias("x"))
-    return found.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.dist").alias("dist"))
+    c = book.config
+    kind = np.int64 if c.domain == "int" else np.float64
+    levels = sorted(set(levels or range(1, bits + 1)))
+    if levels[0] < 1 or levels[-1] > bits:
+        raise ValueError("levels are from 1 to the bits of an id")
+    width = "<u1" if bits <= 8 else "<u2"
+
+    def unpack(batch):
+        ids, offsets = batch.column(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))])
+        for i in range(batch.num_rows):
+            code = np.frombuffer(batch.column(1)[i].as_buffer(), width).reshape(-1, c.m).astype(np.int64)
+            yield _Block(ids[offsets[i] : offsets[i + 1]], code, bits, levels)
+
+    def add(best: Best, block: _Block, held) -> None:
+        table, own = held
+        n = len(best.queries)
+        near = block.around(own)
+        d = np.full((n, 2 * AROUND), best.worst, kind)
+        for j in range(2 * AROUND):
+            d[:, j] = sum(table[m][block.code[near[:, j], m], np.arange(n)] for m in range(c.m))
+        d[:, 1:][near[:, 1:] == near[:, :-1]] = best.worst  # at the ends of a block
+        coarse = np.sort(d, axis=1)[:, min(k, 2 * AROUND) - 1] if k <= 2 * AROUND else np.full(n, best.worst, kind)
+        bound = np.minimum(best.bound, coarse)
+        alive = np.ones((1, n), bool)
+        parent = np.zeros(0, np.int64)
+        first = np.zeros(1, np.int64)
+        low = None
+        for level, starts, prefix in block.levels:
+            parent = np.searchsorted(first, starts, side="right") - 1
+            least, most = _ranges(table, bits - level)
+            node = np.nonzero(alive.any(axis=1)[parent])[0]  # children of what some query still follows
+            lows, highs = _sums(prefix[node], least), _sums(prefix[node], most)
+            if k == 1:
+                seen = np.where(alive[parent[node]], highs, best.worst)
+                bound = np.minimum(bound, seen.min(axis=0, initial=best.worst))
+            now = np.zeros((len(starts), n), bool)
+            now[node] = alive[parent[node]] & (lows <= bound[None])
+            low = np.full((len(starts), n), best.worst, kind) if level == levels[-1] else None
+            if low is not None:
+                low[node] = lows
+            alive, first = now, starts
+        ends = np.append(first[1:], len(block.ids))
+        nodes = np.nonzero(alive.any(axis=1))[0]
+        if by_bound:
+            nodes = nodes[np.argsort(low[nodes].min(axis=1), kind="stable")]
+        for at in range(0, len(nodes), 64):
+            some = nodes[at : at + 64]
+            asked = np.nonzero((alive[some] & (low[some] <= np.minimum(best.bound, bound)[None])).any(axis=0))[0]
+            if not len(asked):
+                continue
+            rows = np.concatenate([np.arange(first[x], ends[x]) for x in some])
+            dist = np.full((n, len(rows)), best.worst, kind)
+            dist[asked] = _sums(block.code[rows], np.ascontiguousarray(table[:, :, asked])).T
+            best.add(dist, block.ids[rows])
+
+    def prepare(ids, q):
+        d = book.distances(q)
+        return np.ascontiguousarray(d.transpose(1, 2, 0)), d.argmin(-1)
+
+    schema = f"query_id long, vec_id long, dist {'bigint' if c.domain == 'int' else 'double'}"
+    out = in_blocks(index, query_rows(queries, c), c, unpack, add, lambda ids: Best(ids, k, kind), schema, prepare)
+    return top_k(index.sparkSession.createDataFrame([], schema) if out is None else out, k)

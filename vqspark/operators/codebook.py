@@ -28,11 +28,6 @@ class Codebook:
         rows = [(m, k, c.tolist()) for m, own in enumerate(self.centroids) for k, c in enumerate(own)]
         return spark.createDataFrame(rows, f"m int, k int, centroid array<{kind}>")
 
-    @staticmethod
-    def from_table(table: DataFrame, config: PQConfig) -> Codebook:
-        rows = table.sort("m", "k").collect()
-        return Codebook(np.array([r["centroid"] for r in rows]).reshape(config.m, -1, config.sub), config)
-
     def distances(self, vectors: np.ndarray) -> np.ndarray:
         """Squared distances ``[n, M, K]`` of padded vectors to the centroids of each sub-space."""
         parts = vectors.reshape(len(vectors), self.config.m, 1, self.config.sub)
@@ -48,8 +43,9 @@ class Codebook:
 
 
 def prepared(vectors: DataFrame, config: PQConfig, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, v)``: vectors in the domain, padded."""
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), V.pad(V.in_domain(F.col(vector_col), config), config).alias("v"))
+    """``(vec_id, v)``: vectors in the domain, padded. Rows without an id or a whole vector of the right length are left out."""
+    whole = F.col(id_col).isNotNull() & (F.size(vector_col) == config.dim) & F.forall(vector_col, lambda x: x.isNotNull())
+    return vectors.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), V.pad(V.in_domain(F.col(vector_col), config), config).alias("v"))
 
 
 def matrix(column: pa.ListArray, config: PQConfig) -> np.ndarray:

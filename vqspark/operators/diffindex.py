@@ -52,7 +52,8 @@ def pack_index(codes: DataFrame, m: int, rows: int = SHARD, wide: bool = False)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        code = np.array(table.column("code").to_pylist()).reshape(table.num_rows, m)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "n_codes": pa.array([table.num_rows], pa.int32()), "vec_ids": [table.column("vec_id").to_pylist()], "payload": pa.array([B.pack_sequential(code, wide)], pa.binary()), "wide": [wide]})
+        code = table.column("code").combine_chunks().flatten().to_numpy().reshape(table.num_rows, m).astype(np.int64)
+        ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("vec_id").combine_chunks())
+        return pa.table({"shard": table.column("shard").slice(0, 1), "n_codes": pa.array([table.num_rows], pa.int32()), "vec_ids": ids, "payload": pa.array([B.pack_sequential(code, wide)], pa.binary()), "wide": [wide]})
 
     return sharded(codes, rows).groupBy("shard").applyInArrow(run, "shard int, n_codes int, vec_ids array<long>, payload binary, wide boolean")

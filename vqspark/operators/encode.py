@@ -18,7 +18,10 @@ def code_matrix(column: pa.ListArray, m: int) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, book: Codebook, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, code)``: in each sub-space the nearest centroid, the lowest of equally near ones."""
+    """``(vec_id, code)``: in each sub-space the nearest centroid, the lowest of equally near ones.
+
+    Rows without an id, or whose vector is null, holds nulls or has another length than the codebook's, have no code.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,6 +44,13 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
     return found.select("vec_id", F.flatten(F.transform("parts", lambda p: p["centroid"])).alias("v"))
 
 
+def renumbered(codes: DataFrame, old: np.ndarray) -> DataFrame:
+    """Codes over a relocated codebook whose centroid k was ``old[m, k]``."""
+    new = np.argsort(old, axis=1)
+    table = F.array(*(F.array(*map(F.lit, row)) for row in new.tolist()))  # M * K numbers
+    return codes.select("vec_id", F.transform("code", lambda c, i: F.get(F.get(table, i), c)).alias("code"))
+
+
 def zcodes(codes: DataFrame, m: int, bits: int) -> DataFrame:
     """``(vec_id, zcode)`` of codes over a relocated codebook."""
     return codes.select("vec_id", C.zcode(F.col("code"), m, bits).alias("zcode"))

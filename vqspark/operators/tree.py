@@ -120,13 +120,15 @@ def layout(ids: np.ndarray, code: np.ndarray, tree: Tree, pairs: np.ndarray | No
             np.maximum.at(beside, below, d)
         below, above = above, tree.parent[above]
     order = np.lexsort((ids, -beside, tree.parent))
-    first = np.searchsorted(tree.parent[order], np.arange(n + 1))
-    out, stack = [], [tree.root] if n else []
-    while stack:
-        x = stack.pop()
-        out.append(x)
-        stack += order[first[x] : first[x + 1]][::-1].tolist()
-    return np.array(out, np.int64), depth, most, size
+    until = np.cumsum(size[order])
+    first = np.searchsorted(tree.parent[order], tree.parent[order])  # the first sibling of each
+    before = np.empty(n, np.int64)  # nodes below elder siblings, these included
+    before[order] = until - size[order] - (until - size[order])[first]
+    place = np.zeros(n, np.int64)
+    for d in range(1, depth.max(initial=0) + 1):
+        at = np.nonzero(depth == d)[0]
+        place[at] = place[tree.parent[at]] + 1 + before[at]
+    return np.argsort(place, kind="stable"), depth, most, size
 
 
 def _delta_rows(shard: int, ids: np.ndarray, code: np.ndarray, tree: Tree, pairs) -> pa.Table:

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vqspark.functions import codes as C
+from vqspark.lineage import cut
 
 
 def as_root_children(codes: DataFrame, delta: DataFrame) -> DataFrame:
-    """Rows of a delta table for new codes, each at depth 1 below the root of shard 0, after all its rows."""
-    root = delta.where("shard = 0 and pos = 0").select(F.col("vec_id").alias("parent_id"), F.col("code").alias("root"))
-    count = delta.where("shard = 0").agg(F.count("*").alias("n"))
-    own = codes.join(F.broadcast(root)).join(F.broadcast(count))  # one row each
-    pos = F.col("n") + F.row_number().over(Window.orderBy("vec_id")) - 1
-    own = own.withColumn("diffs", C.diffs(F.col("root"), F.col("code")))
-    return own.select(F.lit(0).alias("shard"), pos.cast("int").alias("pos"), "vec_id", "parent_id", F.lit(0).alias("parent_pos"), F.lit(1).alias("depth"), C.mask(F.col("diffs")).alias("mask"), "diffs", "code", F.lit(0.0).alias("max_dist"), F.lit(1).alias("subtree_size"))
+    """Rows of a delta table for new codes: each at depth 1 below the root of the shard that its id's hash picks, after all its rows."""
+    heads = delta.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct("vec_id", "code"), "pos").alias("root"))
+    heads = cut(heads.select("shard", "n", F.col("root.vec_id").alias("parent_id"), F.col("root.code").alias("root")))
+    numbers = F.array_sort(F.collect_list("shard"))
+    shards = heads.agg(numbers.alias("shards")).first()["shards"]  # as many as shards
+    if not shards:
+        raise ValueError("there is no tree to insert into")
+    at = F.element_at(F.array(*map(F.lit, shards)), (F.pmod(F.xxhash64("vec_id"), F.lit(len(shards))) + 1).cast("int"))
+    own = codes.select("vec_id", "code", at.alias("shard")).join(heads, "shard")
+    pos = F.col("n") + F.row_number().over(Window.partitionBy("shard").orderBy("vec_id")) - 1
+    own = own.withColumn("diffs", C.diffs(F.col("root"), F.col("code"))).withColumn("pos", pos.cast("int"))
+    return own.select("shard", "pos", "vec_id", "parent_id", F.lit(0).alias("parent_pos"), F.lit(1).alias("depth"), C.mask(F.col("diffs")).alias("mask"), "diffs", "code", F.lit(0.0).alias("max_dist"), F.lit(1).alias("subtree_size"))
 
 
 def hashed_codes(spark: SparkSession, n: int, m: int, k: int, seed: int = 0) -> DataFrame:

@@ -82,7 +82,21 @@ FROM codes x JOIN codes y ON y.vec_id = x.vec_id + 1 AND x.m = y.m GROUP BY x.ve
 FROM (SELECT count(DISTINCT vec_id) AS n, CAST(sum((before IS NOT NULL AND before <> cid)::INT) AS BIGINT) AS diffs FROM steps)""",
     "diff_index_decode": _CELLS,
     "diff_scan_top10": _SCAN,
-    "diff_running_distance": "SELECT vec_id, dist FROM scan WHERE query_id = 0",
+    "diff_running_distance": "SELECT query_id, min(dist) AS least, max(dist) AS most, CAST(sum(dist) AS BIGINT) AS total, count(*) AS n FROM scan GROUP BY query_id",
+    "stored_code_distance": "SELECT query_id, vec_id, dist FROM scan WHERE vec_id = query_id + 1",
+    "zorder_code_distance": "SELECT query_id, vec_id, dist FROM scan WHERE vec_id = query_id + 1",
+    "delta_rowstore_scan_top10": _SCAN,
+    "rowstore_vectors": "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
+    "bound_tree_top10": _SCAN,
+    "clique_chains": """SELECT parent_id, vec_id FROM (
+  SELECT vec_id, lag(vec_id) OVER (PARTITION BY bits, key ORDER BY vec_id) AS parent_id FROM (
+    SELECT k.vec_id, k.bits, k.key, row_number() OVER (PARTITION BY k.vec_id ORDER BY g.size DESC, k.bits, k.key DESC) AS place
+    FROM keyed k JOIN grouped g ON k.differ = g.differ AND k.bits = g.bits AND k.key = g.key WHERE k.differ = 5) WHERE place = 1) WHERE parent_id IS NOT NULL""",
+    "closest_clique_pairs": """SELECT CAST(bits AS INT) AS comb, a, b, dist FROM (
+  SELECT x.bits, x.key, x.vec_id AS a, y.vec_id AS b, p.dist, row_number() OVER (PARTITION BY x.bits, x.key ORDER BY p.dist, x.vec_id, y.vec_id) AS place
+  FROM keyed x JOIN keyed y ON x.bits = y.bits AND x.key = y.key AND x.vec_id < y.vec_id JOIN (
+    SELECT c.vec_id AS a, e.vec_id AS b, CAST(sum(sdc.d) AS BIGINT) AS dist FROM codes c JOIN codes e ON c.m = e.m AND c.vec_id < e.vec_id
+    JOIN sdc ON sdc.m = c.m AND sdc.a = c.cid AND sdc.b = e.cid GROUP BY ALL) p ON p.a = x.vec_id AND p.b = y.vec_id WHERE x.differ = 5) WHERE place = 1""",
     "delta_tree_decode": _CELLS,
     "delta_tree_decode_levels": _CELLS,
     "delta_scan_top10": _SCAN,
@@ -94,9 +108,12 @@ FROM (SELECT count(DISTINCT vec_id) AS n, CAST(sum((before IS NOT NULL AND befor
     "appended_tree_scan": _SCAN,
     "tree_stats": "SELECT count(*) AS n_codes, 1::BIGINT AS n_roots, count(*) - 1 AS n_edges, true AS depth_ok FROM embeddings",
     "tree_edge_diffs": "SELECT count(*) - 1 AS n_edges, count(*) - 1 AS n_agree FROM embeddings",
-    "clique_groups": "SELECT CAST(differ AS INT) AS differ, count(*) AS groups, CAST(sum(size) AS BIGINT) AS codes, CAST(sum(first) AS BIGINT) AS firsts FROM grouped WHERE differ <= 2 GROUP BY differ",
-    "clique_size_histogram": """SELECT CAST(differ AS INT) AS differ, CAST(round(log10(size)) AS INT) AS magnitude, count(*) AS groups, CAST(sum(size) AS BIGINT) AS codes
-FROM grouped WHERE differ BETWEEN 4 AND 7 GROUP BY ALL""",
+    "clique_groups": "SELECT CAST(differ AS INT) AS differ, count(*) AS groups, CAST(sum(size) AS BIGINT) AS codes, CAST(sum(first) AS BIGINT) AS firsts FROM grouped GROUP BY differ",
+    "clique_size_histogram": """SELECT CAST(g.differ AS INT) AS differ, CAST(round(log10(g.size)) AS INT) AS magnitude, count(DISTINCT (g.bits, g.key)) AS groups, CAST(count(k.vec_id) + count(DISTINCT (g.bits, g.key)) AS BIGINT) AS codes,
+  CAST(sum(p.dist) AS BIGINT) AS distance
+FROM grouped g JOIN keyed k ON k.differ = g.differ AND k.bits = g.bits AND k.key = g.key AND k.vec_id <> g.first JOIN (
+  SELECT c.vec_id AS a, e.vec_id AS b, CAST(sum(sdc.d) AS BIGINT) AS dist FROM codes c JOIN codes e ON c.m = e.m AND c.vec_id < e.vec_id
+  JOIN sdc ON sdc.m = c.m AND sdc.a = c.cid AND sdc.b = e.cid GROUP BY ALL) p ON p.a = g.first AND p.b = k.vec_id GROUP BY ALL""",
     "near_code_pairs": """SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, CAST(sum((x.cid <> y.cid)::INT) AS INT) AS differ
 FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id GROUP BY ALL) WHERE differ <= 3""",
     "star_forest_edges": """SELECT parent_id, vec_id, differ FROM (

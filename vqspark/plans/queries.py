@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vqspark.config import PQConfig
 from vqspark.functions import codes as C
 from vqspark.functions import vectors as V
+from vqspark.lineage import running_total
 from vqspark.operators import blocks, bounds, codebook, diffindex, encode, forest, metrics, scan, tree, update
 from vqspark.sources.vecs import take_first
 
@@ -38,7 +38,7 @@ class Base:
         self.codes = encode.encode(self.vectors, self.book)
 
     def tree(self, rule: str = "height", form: str = "bytes") -> DataFrame:
-        return blocks.pack_delta(tree.delta_table(self.codes, self.book, rule=rule, shards=1), self.config.m, form)
+        return blocks.pack_delta(tree.delta_table(self.codes, self.book, rule=rule), self.config.m, form)
 
 
 def _cells(codes: DataFrame) -> DataFrame:
@@ -183,20 +183,31 @@ def pq_leave_one_out(spark, sf_dir):
 @query
 def hamming_histogram(spark, sf_dir):
     b = Base(spark, sf_dir)
-    # a decoded code as query: its distances to codes are those between centroids
-    own = b.codes.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.posexplode("code").alias("m", "a"))
-    cells = _cells(b.codes).withColumnRenamed("cid", "b")
-    table = F.broadcast(codebook.sdc_table(spark, b.book))
-    dist = own.join(cells, "m").where("query_id <> vec_id").join(table, ["m", "a", "b"]).groupBy("query_id", "vec_id").agg(F.sum("d").alias("dist"))
-    return metrics.hamming_histogram(scan.top_k(dist, 1), b.codes)
+    own = b.codes.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "code")
+    return metrics.hamming_histogram(scan.code_scan(b.codes, b.book, own, 1, alone=True), b.codes)
 
 
 @query
 def code_distance_range(spark, sf_dir):
     b = Base(spark, sf_dir)
-    cells = _cells(b.codes).withColumnRenamed("cid", "k")
-    dist = cells.join(F.broadcast(scan.adc_table(b.queries, b.book)), ["m", "k"]).groupBy("query_id", "vec_id").agg(F.sum("d").alias("dist"))
-    return dist.groupBy("query_id").agg(F.min("dist").alias("least"), F.max("dist").alias("most"))
+    return scan.distance_range(b.codes, b.book, b.queries).select("query_id", "least", "most")
+
+
+@query
+def stored_code_distance(spark, sf_dir):
+    """The distance of each query to the stored code of the next id."""
+    b = Base(spark, sf_dir)
+    pairs = b.queries.select("query_id", (F.col("query_id") + 1).alias("vec_id"))
+    return scan.pair_distances(pairs, b.codes, b.queries, b.book)
+
+
+@query
+def zorder_code_distance(spark, sf_dir):
+    """The same for interleaved codes, taken apart first."""
+    b = Base(spark, sf_dir)
+    pairs = b.queries.select("query_id", (F.col("query_id") + 1).alias("vec_id"))
+    z = encode.zcodes(b.codes, 8, 4)
+    return scan.pair_distances(pairs, z.select("vec_id", C.from_zcode(F.col("zcode"), 8, 4).alias("code")), b.queries, b.book)
 
 
 # ---------------------------------------------------------------- sequential differences
@@ -223,13 +234,9 @@ def diff_scan_top10(spark, sf_dir):
 
 @query
 def diff_running_distance(spark, sf_dir):
-    """The distance to query 0 along the sequence, by running sums in SQL."""
+    """What the running distances along the sequence amount to, for each query."""
     b = Base(spark, sf_dir)
-    table = scan.adc_table(b.queries.where("query_id = 0"), b.book).select("m", F.col("k").alias("cid"), "d")
-    own = diffindex.sharded(b.codes).select("shard", "pos", "vec_id", F.posexplode("code").alias("m", "cid")).join(F.broadcast(table), ["m", "cid"])
-    before = F.coalesce(F.lag("d").over(Window.partitionBy("shard", "m").orderBy("pos")), F.lit(0))
-    steps = own.withColumn("step", F.col("d") - before).groupBy("shard", "pos", "vec_id").agg(F.sum("step").alias("step"))
-    return steps.select("vec_id", F.sum("step").over(Window.partitionBy("shard").orderBy("pos")).alias("dist"))
+    return scan.running_range(diffindex.pack_index(b.codes, 8, rows=128), b.book, b.queries)
 
 
 # ---------------------------------------------------------------- delta trees
@@ -259,14 +266,14 @@ def delta_scan_noheight_top10(spark, sf_dir):
 @query
 def delta_scan_recentred_top10(spark, sf_dir):
     b = Base(spark, sf_dir)
-    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book, shards=1, balance="center"), 8)
+    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book, balance="center"), 8)
     return scan.tree_scan(packed, b.book, b.queries, K)
 
 
 @query
 def delta_bitpacked_scan_top10(spark, sf_dir):
     b = Base(spark, sf_dir)
-    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book, shards=1, balance="center"), 8, "bits")
+    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book, balance="center"), 8, "bits")
     return scan.tree_scan(packed, b.book, b.queries, K)
 
 
@@ -279,9 +286,24 @@ def delta_sharded_scan_top10(spark, sf_dir):
 
 @query
 def batch_scan_top10(spark, sf_dir):
-    """All vectors are queries, on blocks held in memory."""
+    """All vectors are queries, in one pass over the blocks, each unpacked once in memory."""
+    b = Base(spark, sf_dir)
+    return scan.tree_scan(b.tree(), b.book, b.vectors.withColumnRenamed("vec_id", "query_id"), K)
+
+
+@query
+def delta_rowstore_scan_top10(spark, sf_dir):
+    """Over a tree that keeps each vector behind its code; the scan skips them."""
+    b = Base(spark, sf_dir)
+    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book), 8, "rows", b.vectors)
+    return scan.tree_scan(packed, b.book, b.queries, K)
+
+
+@query
+def rowstore_vectors(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return scan.tree_scan(b.tree().persist(), b.book, b.vectors.withColumnRenamed("vec_id", "query_id"), K)
+    packed = blocks.pack_delta(tree.delta_table(b.codes, b.book), 8, "rows", b.vectors)
+    return blocks.stored_vectors(packed, 8).select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
 
 
 @query
@@ -293,27 +315,27 @@ def delta_partial_scan(spark, sf_dir):
 @query
 def tree_stats(spark, sf_dir):
     b = Base(spark, sf_dir)
-    own = tree.stats(tree.delta_table(b.codes, b.book, shards=1))
+    own = tree.stats(tree.delta_table(b.codes, b.book))
     return own.select("n_codes", "n_roots", "n_edges", (F.col("max_depth") <= 7).alias("depth_ok"))
 
 
 @query
 def tree_depth_histogram(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return tree.depth_histogram(tree.delta_table(b.codes, b.book, shards=1))
+    return tree.depth_histogram(tree.delta_table(b.codes, b.book))
 
 
 @query
 def tree_adjacency(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return tree.adjacency(tree.delta_table(b.codes, b.book, shards=1)).select("parent_id", F.size("children").alias("n_children"))
+    return tree.adjacency(tree.delta_table(b.codes, b.book)).select("parent_id", F.size("children").alias("n_children"))
 
 
 @query
 def tree_edge_diffs(spark, sf_dir):
     """Child and parent codes joined; whether the stored differences are theirs."""
     b = Base(spark, sf_dir)
-    own = tree.delta_table(b.codes, b.book, shards=1).where("parent_id is not null").select("vec_id", "parent_id", "diffs")
+    own = tree.delta_table(b.codes, b.book).where("parent_id is not null").select("vec_id", "parent_id", "diffs")
     child, parent = b.codes, b.codes.select(F.col("vec_id").alias("parent_id"), F.col("code").alias("above"))
     both = own.join(child, "vec_id").join(parent, "parent_id")
     return both.agg(F.count("*").alias("n_edges"), F.count(F.when(C.hamming(F.col("above"), F.col("code")) == F.size("diffs"), 1)).alias("n_agree"))
@@ -330,13 +352,14 @@ def size_report(spark, sf_dir):
 # ---------------------------------------------------------------- groups and forests
 @query
 def clique_groups(spark, sf_dir):
-    own = forest.groups(Base(spark, sf_dir).codes, 8, [0, 1, 2])
+    own = forest.groups(Base(spark, sf_dir).codes, 8, list(range(9)))
     return own.groupBy("differ").agg(F.count("*").alias("groups"), F.sum("size").alias("codes"), F.sum("first").alias("firsts"))
 
 
 @query
 def clique_size_histogram(spark, sf_dir):
-    return forest.group_sizes(Base(spark, sf_dir).codes, 8, [4, 5, 6, 7])
+    b = Base(spark, sf_dir)
+    return forest.group_sizes(b.codes, 8, list(range(9)), b.book)
 
 
 @query
@@ -344,6 +367,12 @@ def clique_chains(spark, sf_dir):
     return tree.largest_group_chains(Base(spark, sf_dir).codes, 8, 5)
 
 
+@query
+def closest_clique_pairs(spark, sf_dir):
+    b = Base(spark, sf_dir)
+    return forest.closest_pairs(b.codes, b.book, 5).select("comb", "a", "b", "dist")
+
+
 @query
 def near_code_pairs(spark, sf_dir):
     return forest.near_pairs(Base(spark, sf_dir).codes, 8, 3)
@@ -363,14 +392,24 @@ def mst_total_weight(spark, sf_dir):
 @query
 def mst_forest_scan_top1(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return forest.forest_scan(forest.spanning_forest(b.codes, 8, parts=2), b.book, b.queries, 2)
+    return forest.forest_scan(forest.spanning_forest(b.codes, 8, parts=2), b.book, b.queries, 2).drop("rank")
 
 
 @query
 def bound_search_top1(spark, sf_dir):
     b = Base(spark, sf_dir)
-    near, _ = codebook.relocated(b.book)
-    return bounds.bound_search(encode.encode(b.vectors, near), near, b.queries, 2, 4)
+    near, old = codebook.relocated(b.book)
+    index = bounds.bound_index(encode.renumbered(b.codes, old), 8, 4)
+    return bounds.bound_search(index, near, b.queries, 4, levels=[2], by_bound=False).drop("rank")
+
+
+@query
+def bound_tree_top10(spark, sf_dir):
+    """Down all levels, the last one by its bounds."""
+    b = Base(spark, sf_dir)
+    near, old = codebook.relocated(b.book)
+    index = bounds.bound_index(encode.renumbered(b.codes, old), 8, 4, blocks=4)
+    return bounds.bound_search(index, near, b.queries, 4, K)
 
 
 # ---------------------------------------------------------------- quality
@@ -417,15 +456,15 @@ def update_cost(spark, sf_dir):
 def update_growth(spark, sf_dir):
     """The running size of inserts at each hundredth of them, in quarters of a byte."""
     own = update_cost(spark, sf_dir)
-    run = own.select("vec_id", F.sum("quarter_bytes").over(Window.orderBy("vec_id")).alias("total"))
+    run = running_total(own, "vec_id", "quarter_bytes").select("vec_id", "total")
     return run.where((F.col("vec_id") + 1) % 10 == 0)
 
 
 @query
 def appended_tree_scan(spark, sf_dir):
-    """A tree over the first 300 vectors, the others inserted below its root."""
+    """Trees over the first 300 vectors, the others inserted below their roots."""
     b = Base(spark, sf_dir)
-    own = tree.delta_table(b.codes.where("vec_id < 300"), b.book, shards=1)
+    own = tree.delta_table(b.codes.where("vec_id < 300"), b.book, shards=2)
     more = update.as_root_children(b.codes.where("vec_id >= 300"), own)
     packed = blocks.pack_delta(own.unionByName(more), 8)
     return scan.tree_scan(packed, b.book, b.queries, K)

@@ -2,8 +2,9 @@
 
 A record is a little-endian 32-bit length and as many float32 (fvecs) or uint8
 (bvecs). All records of a file are as long as its first, so files are read in
-independent ranges. Paths are local or mounted on all machines; for other stores
-``from_binary_files`` reads through Spark.
+independent ranges. The data sources take paths that are local or mounted on all
+machines; ``from_store`` reads files of any size from any store that Spark reads,
+in splits, and ``from_binary_files`` small ones as wholes.
 """
 
 from __future__ import annotations
@@ -152,14 +153,49 @@ def register(spark: SparkSession) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None, top: int = -1) -> DataFrame:
-    """``(vec_id, embedding)`` of the first ``top`` vectors (-1: all); the kind by default from the file's ending."""
+    """``(vec_id, embedding)`` of the first ``top`` vectors (-1: all); the kind by default from the file's ending.
+
+    A path with a scheme (``hdfs://``, ``s3a://``, ...) is read through Spark's file systems.
+    """
     kind = kind or path.rsplit(".", 1)[-1]
     if kind not in KINDS:
         raise ValueError(f"unknown kind of vector file: {kind}")
+    if "://" in path:
+        return take_first(from_store(spark, path, kind), top)
     register(spark)
     return spark.read.format(kind).option("limit", top).load(path)
 
 
+def from_store(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``(vec_id, embedding)`` of one file in any store that Spark reads, by splits at record bounds; ids are the places in the file.
+
+    The length of the first record is read from the store; the records go through Spark's reader of fixed lengths.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    total = store.getFileStatus(place).getLen()
+    if not total:
+        return spark.createDataFrame([], SCHEMA)
+    stream = store.open(place)
+    try:
+        dim = int.from_bytes(bytes(stream.read() & 255 for _ in range(4)), "little", signed=True)
+    finally:
+        stream.close()
+    record = 4 + dim * KINDS[kind].itemsize
+    if dim < 1 or total % record:
+        raise ValueError("not a whole number of records")
+    name = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    rows = spark.sparkContext.newAPIHadoopFile(path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{name}.recordLength": str(record)})
+    frame = spark.createDataFrame(rows.map(lambda x: (x[0], bytes(x[1]))), "vec_id bigint, record binary", verifySchema=False)
+
+    def run(batches):
+        for batch in batches:
+            data = b"".join(x.as_buffer() for x in batch.column(1))
+            yield batch_of(batch.column(0).to_numpy(), decode(data, kind))
+
+    return frame.mapInArrow(run, SCHEMA)
+
+
 def from_binary_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """``(file, vec_id, embedding)`` of files in any store that Spark reads, whole files at a time; ids count within a file."""
     def run(batches):
