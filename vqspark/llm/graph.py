@@ -1,48 +1,13 @@
-"""Reliable lineage cuts and connected components over DataFrames of edges."""
+"""Connected components over DataFrames of edges."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vqspark.lineage import cut, release, remove, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for written tables: that of ``spark.checkpoint.dir``.
-
-    Only a session on one machine (master ``local``) may go without; it gets a folder of its own.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vqspark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; a lost executor costs no more than what came after."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files behind results that are written, once nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Removes a written table, in any store."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["connected_components", "cut", "release", "remove", "shared_dir", "written"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

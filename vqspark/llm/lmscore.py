@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqspark.llm.graph import cut, release
+from vqspark.llm.graph import cut, release, remove, written
 from vqspark.llm.keymap import bit_map, listed
 
 #: No length makes a word unknown: words are keyed by their hashes.
@@ -199,7 +199,7 @@ def _score(bits, hot, base):
 
 
 def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigrams: int | None = None, id_col: str = "doc_id", text_col: str = "text"):
-    """``(features, base)``: a written table ``(key, background, t, b)`` of what each feature adds to the losses, and
+    """``(features, path, map, base)``: a written table ``(key, background, t, b)`` of what each feature adds to the losses, and
     for each model what a text and an unknown word add. Target: the rows whose id is in ``target_ids``; background: all rows.
 
     ``words`` and ``bigrams`` keep only so many of the most frequent; None keeps all.
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigr
     texts = (wanted.count(), own.count())
 
     tokens = (F.col("a") == 0) & (F.col("b") == TOKENS)
-    counted = cut(wanted.mapInArrow(_count_target, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("target")).where((F.col("target") >= 2) | tokens))
+    counted, first_path = written(wanted.mapInArrow(_count_target, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("target")).where((F.col("target") >= 2) | tokens))
     in_target = counted.where(tokens).agg(F.sum("target")).first()[0] or 0
     known, pairs = counted.where((F.col("a") == 0) & ~tokens), counted.where("a <> 0")
     if words is not None:
@@ -229,8 +229,9 @@ def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigr
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(listed_features, "key", listed_features.count(), 4, *MAP_BITS))
 
     everywhere = own.select("_text").mapInArrow(_count_listed(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("background"))
-    both = cut(everywhere.join(listed_features, "key", "left").where(F.col("a").isNotNull() | (F.col("key") == TOKENS)).select("a", "b", "target", "background"))
-    del everywhere
+    both, both_path = written(everywhere.join(listed_features, "key", "left").where(F.col("a").isNotNull() | (F.col("key") == TOKENS)).select("a", "b", "target", "background"))
+    del everywhere, counted, known, pairs, listed_features
+    remove(docs.sparkSession, first_path)
     release(docs.sparkSession)
     in_all = both.where("a is null").agg(F.sum("background")).first()[0] or 0
     known, pairs = both.where("a = 0"), both.where("a <> 0")
@@ -253,7 +254,9 @@ def learn(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigr
     second = single.select(F.col("word").alias("b"), "unigram0", "unigram1")
     ratios = pairs.join(first, "a").select("b", key, "background", *((over[m] / F.col(f"c{m}") / F.col(f"backoff{m}")).alias(f"over{m}") for m in (0, 1)))
     joined = ratios.join(second, "b").select("key", "background", *((-F.log1p(F.col(f"over{m}") / F.col(f"unigram{m}"))).alias("tb"[m]) for m in (0, 1)))
-    return cut(alone.union(joined)), bits, base
+    features, path = written(alone.union(joined))
+    remove(docs.sparkSession, both_path)
+    return features, path, bits, base
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int | None = None, bigrams: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -267,7 +270,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     looked at; an empty table gives an empty table. ``hot`` is the number of
     features sent to the tasks and doesn't change the result.
     """
-    features, bits, base = learn(docs, target_ids, words, bigrams, id_col, text_col)
+    features, path, bits, base = learn(docs, target_ids, words, bigrams, id_col, text_col)
     release(docs.sparkSession)
     least = _least_count(features, "background", hot, 1)
     chosen = features.where(F.col("background") >= least).select("key", "t", "b").toArrow().sort_by("key")
@@ -282,4 +285,6 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
         added = scored.join(cold, "key", "left").select("row", "doc_id", "n_tokens", *more)
         sums = added.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     losses = sums.select("doc_id", "n_tokens", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
-    return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    out = cut(losses.withColumn("score", F.col("target_loss") - F.col("background_loss")))
+    remove(docs.sparkSession, path)
+    return out
