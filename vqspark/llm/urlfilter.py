@@ -1,7 +1,8 @@
 """URL rules by hash prefixes: expressions of each URL meet the rules in an equi-join.
 
-Every distinct (host, path) expands into its host suffixes times those beginnings
-of its path that are as long as some rule's path. Expressions and rules meet on
+Every distinct (host, path) expands into those of its host suffixes that have as
+many labels as some rule's host, times those beginnings of its path that are as
+long as some rule's path. Expressions and rules meet on
 four bytes of their SHA-256, the full digest confirms, and the longest rule wins.
 Only DataFrame functions are used.
 """
@@ -42,7 +43,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     the path starts with the rule's. The longest rule (host and path together)
     wins; of equally long ones the longer host, then ``block``. Without a rule,
     ``rule`` is null and the verdict ``default``. A null url, or one without
-    ``://``, has empty host and path. Empty hosts fit no rule; rules with nulls
+    ``://``, has empty host and path. Hosts and paths may be of any length. Empty hosts fit no rule; rules with nulls
     are ignored. Repeated rows and null ids are kept, other columns not looked at.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -52,11 +53,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     known = known.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict").distinct()
     known = _hashed(known, F.concat("r_host", F.lit("\n"), "r_path"))
     lengths = sorted(r.n for r in known.select(F.length("r_path").alias("n")).distinct().collect())  # as many as different lengths of paths in rules
+    depths = sorted(r.n for r in known.select(F.size(F.split("r_host", r"\.")).alias("n")).distinct().collect())  # as many as different numbers of labels
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     places = own.where("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    fitting = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: n <= labels)
+    suffixes = F.transform(fitting, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     grown = places.select("host", "path", F.explode(suffixes).alias("suffix"), cuts.alias("cuts")).select("host", "path", "suffix", F.explode("cuts").alias("n"))
     grown = grown.withColumn("part", F.substring(F.col("path"), F.lit(1), F.col("n")))
