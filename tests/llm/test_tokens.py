@@ -1,9 +1,11 @@
 """Prefix counts against the tokenizers library."""
 
 import random
+import time
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vqspark.llm import tokens
@@ -61,3 +63,38 @@ def test_test_data(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, PATH).collect()}
     assert found == {r.doc_id: library(r.text or "") for r in docs.collect()}
+
+
+def test_long_runs_take_linear_time(library):
+    counter = tokens.PrefixCounter(PATH)
+    for c in " a-=0":
+        index = counter.index(c * 3000)
+        for i in (1, 2, 17, 511, 512, 513, 514, 700, 1023, 1999, 2600, 3000):
+            assert index.at(i) == library(c * i), (c, i)
+    begin = time.perf_counter()
+    index = counter.index("x" + " " * 1_000_000 + "y")
+    length = index.fit(100)
+    assert time.perf_counter() - begin < 5  # a second or so on a quiet machine
+    assert library(index.text[:length]) <= 100 < library(index.text[: length + 1])
+    assert index.at(1_000_002) == index.counts[-1]
+
+
+def test_budgets_of_long_texts(library):
+    rng = random.Random(4)
+    counter = tokens.counter_of(PATH)
+    for n in range(40):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.choice([300, 900])))
+        whole = counter.index(text)
+        for budget in (0, 3, 20, 90):
+            assert tokens.fit_chars(counter, text, counter.count(text), budget) == whole.fit(budget)
+
+
+def test_stored_prefixes(spark, library):
+    texts = [None, "", *samples(60)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ends int")
+    found = tokens.prefix_counts(docs, PATH).select("doc_id", "ends", "counts", tokens.tokens_until(F.lit(9)).alias("until"), tokens.longest_within(F.lit(4)).alias("within")).collect()
+    for r in found:
+        text = texts[r.doc_id] or ""
+        assert (r.counts or [0])[-1] == library(text) and (r.ends or [0])[-1] == len(text)
+        assert r.until == max([0, *(c for e, c in zip(r.ends, r.counts) if e <= 9)])
+        assert r.within == max([0, *(e for e, c in zip(r.ends, r.counts) if c <= 4)])

@@ -20,14 +20,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of Unicode.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: A worker's memos of chunks, pre-tokens and pairs of tokens are emptied when they hold this many entries.
 MEMO, PIECE_MEMO, PAIR_MEMO = 300_000, 700_000, 1_500_000
+#: Bytes from which a run of one byte is counted by its period, and characters a token that are looked at first for a budget.
+RUN, FIRST_LOOK = 512, 8
 
 
 def _class_of(kind: str) -> str:
@@ -120,10 +123,21 @@ class PrefixCounter:
         return self._merged(both[0] + both[1]) == [x for x in both if x]
 
     def piece(self, text: bytes) -> list[int]:
-        """Token counts of the prefixes of length 0, 1, ... of one pre-token."""
+        """Token counts of the prefixes of length 0, 1, ... of one pre-token.
+
+        In a run of one byte the next token follows from those that end at the
+        last few places. Once these come again, the counts repeat with a constant gain.
+        """
         find, stable, reach = self.tokens.get, self.stable, self.reach.get
         last, count = [-1 << 32], [0]
+        far = reach(text[:3], 2) if len(text) > RUN and text == text[:1] * len(text) else 0
+        seen: dict[tuple, int] = {}
         for end in range(1, len(text) + 1):
+            if far and end > far + 3:
+                now = tuple(last[-far:])
+                if now in seen:
+                    return self._repeated(count, seen[now], len(text))
+                seen[now] = end - 1
             for start in range(max(0, end - reach(text[max(0, end - 3) : end], 2)), end):
                 token = find(text[start:end])
                 if token is not None and stable[last[start] | token]:
@@ -134,6 +148,14 @@ class PrefixCounter:
                 raise ValueError("a byte isn't in the vocabulary")
         return count
 
+    @staticmethod
+    def _repeated(count: list[int], since: int, n: int) -> list[int]:
+        """Counts at 0 to n of which those behind ``since`` come again and again."""
+        period, gain = len(count) - 1 - since, count[-1] - count[since]
+        at = np.arange(len(count), n + 1) - since - 1
+        times, rest = at // period, at % period + since + 1
+        return count + (np.array(count)[rest] + times * gain).tolist()
+
     def _whole_count(self, text: str) -> int:
         raw = text.encode("utf-8", "surrogatepass")
         token = self.tokens.get(raw)
@@ -169,7 +191,8 @@ class PrefixIndex:
     """Counts at the ends of all pre-tokens of a text; answers for any prefix of it, in code points."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text, self.held = counter, text, ("", [0])
+        self.counter, self.text = counter, text
+        self.span, self.inside, self.run = (0, 0), [0], False  # the pre-token or run of white space looked at last, and its counts
         self.segments, pieces, at = [], [], 0
         for m in counter.specials.finditer(text) if counter.specials else ():
             self.segments.append((at, m.start(), m.end()))
@@ -180,51 +203,92 @@ class PrefixIndex:
         self.ends = [0, *accumulate(len(p) for p, _ in pieces)]
         self.counts = [0, *accumulate(1 if whole else counter.whole[p] for p, whole in pieces)]
 
+    def _region(self, length: int) -> tuple[int, int] | None:
+        """``(start, base)`` where the prefix ends within ``span``, which begins at ``start`` with ``base`` tokens before; None where it must be counted anew."""
+        low, high, end = self.segments[bisect_right(self.segments, length, key=lambda s: s[0]) - 1]
+        if high < length < end or length == low:
+            return None
+        k = bisect_left(self.ends, length)
+        start, stop = self.ends[k - 1], self.ends[k]
+        white = self._white(length - 1)
+        if white and self.run and self.span[0] < length <= self.span[1]:
+            start, stop = self.span
+            k = bisect_left(self.ends, start) + 1
+        elif white:
+            while self.ends[k - 1] > low and self._white(self.ends[k - 1] - 1):
+                k -= 1
+            start, stop = self.ends[k - 1], length
+            while stop < high and self._white(stop):
+                stop += 1
+        if self.text[start] == "'":  # may be a contraction, whose beginning isn't one
+            return None
+        if self.span != (start, stop):
+            piece = self.text[start:stop]
+            counts = self.counter.piece(piece.encode("utf-8", "surrogatepass"))
+            if not piece.isascii():
+                counts = [counts[n] for n in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)]
+            self.span, self.inside = (start, stop), counts
+        self.run = white
+        return start, self.counts[k - 1]
+
     def at(self, length: int) -> int:
         """Exact number of tokens of ``text[:length]``."""
         length = max(0, min(length, len(self.text)))
         if not length:
             return 0
+        if region := self._region(length):
+            return region[1] + self.inside[length - region[0]]
         low, high, end = self.segments[bisect_right(self.segments, length, key=lambda s: s[0]) - 1]
         if high < length < end:  # inside an added token, whose beginning is ordinary text
             return self.counts[bisect_left(self.ends, low)] + self.counter.count(self.text[low:length])
         if length == low:  # at the end of an added token
             return self.counts[bisect_left(self.ends, length)]
         k = bisect_left(self.ends, length)
-        if not self._white(length - 1):  # the prefix ends in a pre-token that isn't white space
-            return self.counts[k - 1] + self._inside(self.text[self.ends[k - 1] : self.ends[k]], length - self.ends[k - 1])
-        while self.ends[k - 1] > low and self._white(self.ends[k - 1] - 1):
-            k -= 1
-        start = self.ends[k - 1]
-        stop = length
-        while stop < high and self._white(stop):
-            stop += 1
-        return self.counts[k - 1] + self._inside(self.text[start:stop], length - start)
+        return self.counts[k - 1] + self.counter._unstored(self.text[self.ends[k - 1] : length])
 
     def _white(self, at: int) -> bool:
         return self.text[at] in _white_space()
 
-    def _inside(self, text: str, length: int) -> int:
-        """Tokens of the first code points of a pre-token or a run of white space."""
-        if text[0] == "'":  # may be a contraction, whose beginning isn't one
-            return self.counter._unstored(text[:length])
-        if self.held[0] != text:
-            self.held = text, self.counter.piece(text.encode("utf-8", "surrogatepass"))
-        return self.held[1][len(text[:length].encode("utf-8", "surrogatepass"))]
-
     def fit(self, budget: int) -> int:
         """Length of the longest prefix of at most ``budget`` tokens."""
+        budget = max(0, budget)
         if self.counts[-1] <= budget:
             return len(self.text)
-        k = bisect_right(self.counts, max(0, budget))
+        k = bisect_right(self.counts, budget)
         while k < len(self.counts) - 1 and self._white(self.ends[k] - 1):  # a longer run of white space may need fewer tokens
             k += 1
-        for length in range(self.ends[k], -1, -1):
-            if self.at(length) <= budget:
+        length = self.ends[k]
+        while length > 0:
+            if region := self._region(length):
+                start, base = region
+                found = np.nonzero(np.array(self.inside[1 : length - start + 1]) <= budget - base)[0]
+                if len(found):
+                    return start + int(found[-1]) + 1
+                length = start
+            elif self.at(length) <= budget:
                 return length
+            else:
+                length -= 1
         return 0
 
 
+def fit_chars(counter: PrefixCounter, text: str, n_tokens: int, budget: int) -> int:
+    """Length of the longest prefix of at most ``budget`` tokens; of a long text only as much is indexed as that needs.
+
+    No prefix behind a pre-token at which the budget is exceeded has fewer tokens; the last few pre-tokens of a part aren't yet sure.
+    """
+    if n_tokens <= budget:
+        return len(text)
+    size = FIRST_LOOK * (budget + 16)
+    while size < len(text):
+        index = counter.index(text[:size])
+        sure = [n for n, end in zip(index.counts[:-4], index.ends) if end and not index._white(end - 1)]
+        if sure and sure[-1] > budget:
+            return index.fit(budget)
+        size *= 4
+    return counter.index(text).fit(budget)
+
+
 @lru_cache(maxsize=2)
 def counter_of(path: str) -> PrefixCounter:
     return PrefixCounter(path)
@@ -243,10 +307,11 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
         counter = counter_of(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            columns = [batch.column(0), pa.array([counter.count(x or "") for x in texts], pa.int64()), batch.column(2)]
+            counts = [counter.count(x or "") for x in texts]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), batch.column(2)]
             names = ["doc_id", "n_tokens", "n_bytes"]
             if budget is not None:
-                columns.append(pa.array([counter.index(x or "").fit(budget) for x in texts], pa.int64()))
+                columns.append(pa.array([fit_chars(counter, x or "", n, budget) for x, n in zip(texts, counts)], pa.int64()))
                 names.append("fit_chars")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -255,3 +320,33 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     schema = "doc_id long, n_tokens long, n_bytes long" + (", fit_chars long" if budget is not None else "")
     counted = own.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", *(["fit_chars"] if budget is not None else []))
+
+
+def prefix_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, ends, counts``, to be stored; the exact number of tokens at the end (in code points) of each pre-token.
+
+    :func:`tokens_until` and :func:`longest_within` answer from these arrays
+    without the text. Null texts have empty arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(vocabulary)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                found = [counter.index(x or "") for x in part.column(1).to_pylist()]
+                lists = [pa.array([getattr(x, name)[1:] for x in found], pa.list_(pa.int32())) for name in ("ends", "counts")]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "ends", "counts"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "doc_id long, ends array<int>, counts array<int>")
+
+
+def tokens_until(length: Column) -> Column:
+    """Of rows of :func:`prefix_counts`: tokens of the whole pre-tokens within the first ``length`` code points."""
+    return F.coalesce(F.get("counts", F.size(F.filter("ends", lambda e: e <= length)) - 1), F.lit(0))
+
+
+def longest_within(budget: Column) -> Column:
+    """Of rows of :func:`prefix_counts`: code points up to the last pre-token whose end is within ``budget`` tokens."""
+    return F.coalesce(F.get("ends", F.size(F.filter("counts", lambda c: c <= budget)) - 1), F.lit(0))
