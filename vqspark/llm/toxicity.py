@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vqspark.llm.graph import cut
 
@@ -21,7 +22,7 @@ SIZES = (4, 5, 6)
 BITS = 19
 #: Count added to each n-gram, ridge penalty, and weight of a toxic text against another in the regression.
 ALPHA, RIDGE, POSITIVE = 1.0, 1.0, 4.0
-#: Features that enter the regression, and labelled texts that it's fitted on at most (about).
+#: Features that enter the regression, and labelled texts that it's fitted on at most.
 FEATURES, SAMPLE = 2048, 10_000
 THRESHOLD = 0.7
 CHUNK = 1 << 20
@@ -134,7 +135,7 @@ def _rows(features: np.ndarray):
     return run
 
 
-def _score(features: np.ndarray, weights: np.ndarray, bias: float):
+def _score(features: np.ndarray, weights: np.ndarray, bias: float, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = _columns(features)
         for batch in batches:
@@ -145,7 +146,7 @@ def _score(features: np.ndarray, weights: np.ndarray, bias: float):
                 sums.append(np.bincount(who, weights[column], len(group)))
             total = np.concatenate(sums) + bias if sums else np.empty(0)
             score = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], name])
 
     return run
 
@@ -216,8 +217,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null ids and labels are left out; where an id has several labels, toxic wins.
     Without a text of each label all texts score the share of toxic ones (a half
-    where there is no label). About ``sample`` texts at most, chosen by a hash of
-    the id, are fitted by the regression; all give the ratios.
+    where there is no label). No more than ``sample`` rows are fitted by the
+    regression, chosen by a hash of id and text (of rows that repeat beyond that
+    number the first are taken); all labelled rows give the ratios.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -238,9 +240,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = np.array([r["feature"] for r in best], np.int64)
     toxic, clean = (np.array([r[c] for r in best], np.float64) for c in ("toxic", "clean"))
     ratio = np.log((toxic + ALPHA) / (n1 + 2 * ALPHA)) - np.log((clean + ALPHA) / (n0 + 2 * ALPHA))
-    part = min(1.0, sample / (n1 + n0))
-    chosen = own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else own
-    rows = chosen.select("_text", "_y").mapInArrow(_rows(features), "y int, columns array<int>").toArrow()
+    part = min(1.0, 0.95 * sample / (n1 + n0)) if n1 + n0 > sample else 1.0
+    chosen = own.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else own
+    rows = chosen.select("_text", "_y").mapInArrow(_rows(features), "y int, columns array<int>").limit(sample).toArrow()
     lists = rows.column("columns").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     starts = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64)
@@ -251,16 +253,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] = (), name: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` and the score of each row's whole text; a null text counts as empty."""
-    own = docs.select(F.col(text_col).alias("_text_to_score"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
-    scored = own.mapInArrow(_score(model.features, model.weights, model.bias), f"{fields}{', ' if fields else ''}score double")
-    return scored.withColumnRenamed("score", name) if name != "score" else scored
+    if name.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"{name} is a column already")
+    own = docs.select(F.col(text_col).cast("string").alias("_text_to_score"), *(F.col(f"`{c}`") for c in keep))
+    schema = StructType([*own.schema.fields[1:], StructField(name, DoubleType())])
+    return own.mapInArrow(_score(model.features, model.weights, model.bias, name), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Only the text is an input of the score. Null texts count as empty; a null
+    Only the text is an input of the score, the whole of it, however long. Null texts count as empty; a null
     doc_id is never held out and never learned from; repeated rows are kept; other
     columns are not looked at; an empty table gives an empty table.
     """
