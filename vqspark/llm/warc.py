@@ -2,32 +2,36 @@
 
 Headers (id, digest, length) are shuffled by digest and reduced to one original
 per repeated payload; pages join that, and each becomes a response or a revisit
-record with fresh headers. A record ends with CR LF CR LF, so Spark's text writer
-with this separator writes archives in any store it can reach; they are read
-back as whole files of bounded size and cut by Content-Length, since payloads may
-hold any separator.
+record with fresh headers. Each task writes its records into files of bounded
+size, a gzip member for each record and a ``warcinfo`` record first, so readers
+can begin at any record. Files of attempts that didn't finish are removed. They
+are read back as wholes and cut by Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqspark.llm.graph import cut, shared_dir
+from vqspark.llm.graph import cut, remove, shared_dir
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload that one archive file should hold, and from which a payload counts as large.
-FILE_BYTES, LARGE = 32 << 20, 1 << 20
+#: Bytes of records after which a file ends; only a single record may be larger.
+FILE_BYTES = 32 << 20
 #: Repeated payloads up to this many (60 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -41,71 +45,108 @@ def payload_digest(payload: Column) -> Column:
 
 
 def _prepared(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    return own.withColumns({"digest": payload_digest(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
-
-
-def _name(page_id: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
-
-
-def _record(date: str) -> Column:
-    """The text of a record without its closing separator."""
-    revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:x-page:unknown")), r"[\x00-\x1f\x7f]", "%20")
-    again = F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _name(F.col("refers_to"), F.col("digest")), F.lit("\r\n"))
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "),
-        F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: "),
-        _name(F.col("page_id"), F.col("digest")),
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
-        url,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"),
-        F.col("digest"),
-        F.lit("\r\n"),
-        F.when(revisit, again).otherwise(F.lit("")),
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(END),
-        block,
-    )
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("row"))
+    return own.withColumns({"digest": payload_digest(F.col("html")), "size": F.octet_length("html").cast("long")})
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``record_type`` and ``refers_to`` to rows of ``page_id, digest, size``."""
-    heads = pages.where(F.col("size") >= min_bytes).select("page_id", "digest", "size")
-    firsts = heads.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = cut(firsts.where("n > 1 and first is not null").drop("n"))
+    """Adds ``record_type``, ``refers_to`` and ``original`` (whether others may refer to it) to rows of ``page_id, row, digest, size``."""
+    heads = pages.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "row", "digest", "size")
+    # of rows that repeat the smallest page_id, the first one is the original
+    alike = heads.groupBy("digest", "size", "page_id").agg(F.count("*").alias("same"), F.min("row").alias("row"))
+    nameless = pages.where((F.col("size") >= min_bytes) & F.col("page_id").isNull()).select("digest", "size", F.lit(1).cast("long").alias("more"))
+    firsts = alike.groupBy("digest", "size").agg(F.min(F.struct("page_id", "same", "row")).alias("x"), F.sum("same").alias("n"))
+    firsts = firsts.join(nameless.groupBy("digest", "size").agg(F.sum("more").alias("more")), ["digest", "size"], "left")
+    firsts = firsts.where(F.col("n") + F.coalesce("more", F.lit(0)) > 1).select("digest", "size", F.col("x.page_id").alias("first"), F.when(F.col("x.same") > 1, F.col("x.row")).alias("first_row"))
+    firsts = cut(firsts)
     few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = pages.join(F.broadcast(firsts) if few else firsts, ["digest", "size"], "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("first")
+    is_first = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
+    again = F.col("first").isNotNull() & ~is_first
+    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first")), "original": F.col("first").isNotNull() & is_first}).drop("first", "first_row")
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
+# ---------------------------------------------------------------- writing
+def _name(page_id: int | None, digest: str, row: int | None = None) -> str:
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{digest}{'' if row is None else f':{row}'}>"
+
+
+def _head(kind: str, name: str, date: str, fields: list[tuple[str, str]], length: int) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}"]
+    return ("\r\n".join(lines) + END).encode()
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, row: int, kind: str, refers_to: int | None, original: bool, date: str) -> bytes:
+    """A record with its closing separator. All records have names of their own; the original's follows from its page and digest."""
+    url = re.sub(r"[\x00-\x1f\x7f]", "%20", url) if url else "urn:x-page:unknown"
+    fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    block = HTTP.encode()
+    if kind == "revisit":
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _name(refers_to, digest))]
+    else:
+        block += payload
+    fields.append(("Content-Type", "application/http; msgtype=response"))
+    return _head(kind, _name(page_id, digest, None if original else row), date, fields, len(block)) + block + END.encode()
+
+
+def _store(path: str):
+    """``(file system, path in it)``; a path without a scheme is a local one."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _write(path: str, date: str, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
+        context = TaskContext.get()
+        stem, names, out, held, records = f"part-{context.partitionId():06d}-{context.taskAttemptId()}", [], None, 0, 0
+        try:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    data = record_bytes(*row, date)
+                    if out is not None and held + len(data) > size:
+                        out.close()
+                        out = None
+                    if out is None:
+                        names.append(f"{stem}-{len(names):04d}.warc.gz")
+                        store.create_dir(folder, recursive=True)
+                        out, held = store.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
+                        info = b"software: vqspark\r\nformat: WARC File Format 1.1\r\n"
+                        head = _head("warcinfo", f"<urn:x-file:{names[-1]}>", date, [("WARC-Filename", names[-1]), ("Content-Type", "application/warc-fields")], len(info))
+                        out.write(gzip.compress(head + info + END.encode(), 6, mtime=0))
+                    out.write(gzip.compress(data, 6, mtime=0))
+                    held += len(data)
+                    records += 1
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return run
+
+
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Writes a record for each row into gzip archives in the folder ``path``.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, that with the
-    smallest page_id is the response (repeats of this id too), the others revisit
-    it; smaller ones are responses. A null html is an empty payload, a null url
-    gets a placeholder, a null page_id is never the original where another row has
-    an id. Other columns are not looked at.
+    smallest page_id is the response (of rows that repeat it the first one), the
+    others revisit it; smaller ones are responses. A null html is an empty
+    payload, a null url gets a placeholder, a null page_id is never the original
+    where another row has an id. Other columns are not looked at. A file ends
+    before it would hold more than ``file_bytes`` of records; a payload of any
+    length is one record.
     """
-    own = _prepared(pages, id_col, url_col, html_col)
-    large = F.col("size") > LARGE
-    total = own.agg(F.sum(F.when(~large, F.col("size"))), F.count(F.when(~large, 1)), F.max(F.when(large, F.col("size")))).first()
-    each = {False: FILE_BYTES // max(1, (total[0] or 0) // max(1, total[1]))}
-    if total[2]:
-        each[True] = FILE_BYTES // total[2]
-    typed = resolve_revisits(own, min_bytes)
-    for big, records in each.items():  # usually one pass; large payloads go to files of their own
-        chosen = typed.where(large if big else ~large) if len(each) > 1 else typed
-        chosen.select(_record(date).alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(20_000, records))).text(path)
+    typed = resolve_revisits(_prepared(pages, id_col, url_col, html_col), min_bytes)
+    own = typed.select("page_id", "url", "html", "digest", "row", "record_type", "refers_to", "original")
+    names = {r["name"] for r in own.mapInArrow(_write(path, date, file_bytes), "name string").toLocalIterator()}  # as many as files
+    store, folder = _store(path)
+    store.create_dir(folder, recursive=True)
+    for file in store.get_file_info(fs.FileSelector(folder)):
+        if file.base_name.endswith(".warc.gz") and file.base_name not in names:
+            store.delete_file(file.path)
 
 
+# ---------------------------------------------------------------- reading
 class _Stream(io.RawIOBase):
     """What a gzip file of any number of members holds, without holding all of it."""
 
@@ -169,6 +210,8 @@ def _parse(with_payload: bool):
             rows, held = [], 0
             for data in batch.column(0):
                 for head, block in records_of(data.as_buffer().to_pybytes()):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     payload = size = None
                     if head["WARC-Type"] == "response":
@@ -191,7 +234,7 @@ def _parse(with_payload: bool):
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record of the archives in ``path``, revisits resolved to the response they refer to."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     schema = "page_id long, url string, record_type string, record_name string, refers_name string, refers_to long, payload_digest string, payload_bytes long, payload binary"
     records = files.mapInArrow(_parse(with_payload), schema)
     if not with_payload:
@@ -214,5 +257,4 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     try:
         return read_archive(spark, path).drop("url")
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)
