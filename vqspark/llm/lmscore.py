@@ -37,7 +37,8 @@ LAMBDA = 0.6
 UNKNOWN, BEGIN, END = 0, 1, 2
 #: Hashes that stand for the beginning and the end of a text, and the key under which tokens are counted.
 BEGIN_HASH, END_HASH, TOKENS = -0x61C8864680B583EB, 0x2545F4914F6CDD1D, 0x1D8E4E27C47D124F
-FLUSH = 1 << 20
+#: Words that a task counts together, words whose hashes it remembers, and rows in a batch that it returns.
+FLUSH, MEMO, OUT = 1 << 20, 1 << 17, 1 << 16
 BROADCAST_ROWS = 1_000_000
 #: Lower-cases ASCII letters and turns ASCII punctuation into spaces.
 FOLD = bytes(ord(" ") if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -51,7 +52,7 @@ class _Hashes(dict):
     """64-bit hash of each word, remembered for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH // 4:
+        if len(self) > MEMO:
             self.clear()
         value = self[word] = int(np.uint64(xxhash.xxh64_intdigest(word) or 1).view(np.int64))
         return value
@@ -94,6 +95,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int):
         yield whole()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """In batches that neither side needs much memory for."""
+    return (batch.slice(at, OUT) for at in range(0, batch.num_rows, OUT))
+
+
 def _count_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(a, b, n)`` of words (a is 0) and bigrams of known hashes."""
     for _, sizes, _, a, b in _chunks(batches, FLUSH):
@@ -104,7 +110,7 @@ def _count_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + 1))
         first, times = order[starts], np.diff(starts, append=len(keys))
         columns = [np.concatenate(x) for x in ((np.zeros(len(words), np.int64), a[first], [0]), (words, b[first], [TOKENS]), (n, times, [sizes.sum()]))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["a", "b", "n"])
+        yield from _parts(pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["a", "b", "n"]))
 
 
 def _count_listed(bits):
@@ -114,7 +120,7 @@ def _count_listed(bits):
         for _, sizes, _, a, b in _chunks(batches, FLUSH):
             words, pairs = b[(b != END_HASH) & (b != UNKNOWN)], _pair_keys(a, b)[(a != UNKNOWN) & (b != UNKNOWN)]
             keys, n = np.unique(np.concatenate([x[listed(bits.value, x)] for x in (words, pairs)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, TOKENS)), pa.array(np.append(n, sizes.sum()))], names=["key", "n"])
+            yield from _parts(pa.RecordBatch.from_arrays([pa.array(np.append(keys, TOKENS)), pa.array(np.append(n, sizes.sum()))], names=["key", "n"]))
 
     return run
 
@@ -183,7 +189,7 @@ def _score(bits, hot, base):
                 cold_keys.append(key[~hit])
             own, row, key = np.array([r for r, _ in rows], np.int64), np.concatenate(cold_rows), np.concatenate(cold_keys)
             none = np.zeros(len(row))
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([own, own[row]])),
                     pa.array(np.concatenate([own, key])),
@@ -194,6 +200,7 @@ def _score(bits, hot, base):
                 ],
                 names=["row", "key", "doc_id", "n", "n_tokens", "t", "b"],
             )
+            yield from _parts(out)
 
     return run
 
