@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from vqspark.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, g double, tokens int"
@@ -20,7 +22,7 @@ def corpus():
 
 
 def test_marginals_and_budget(spark):
-    rows = mixing.mix(docs(spark, corpus()), sweeps=40).collect()
+    rows = mixing.mix(docs(spark, corpus())).collect()
     total = sum(r.mix_tokens for r in rows)
     for d in mixing.DIMENSIONS:
         own, got = defaultdict(float), defaultdict(float)
@@ -36,7 +38,7 @@ def test_marginals_and_budget(spark):
 
 
 def test_probability_stops_at_one(spark):
-    rows = mixing.mix(docs(spark, corpus()), keep=0.95, sweeps=20).collect()
+    rows = mixing.mix(docs(spark, corpus()), keep=0.95).collect()
     total = sum(r.mix_tokens for r in rows)
     assert abs(sum(r.mix_tokens * r.mix_probability for r in rows) - 0.95 * total) < 1e-6 * total
     assert any(r.mix_probability == 1 for r in rows)
@@ -56,3 +58,27 @@ def test_odd_rows(spark):
     assert sorted(r.mix_tokens for r in found) == [1, 1, 1, 2, 100_001]
     assert len({r.mix_sampled for r in found if r.doc_id == 1}) == 1
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_given_targets(spark):
+    targets = spark.createDataFrame([("lang", "de", 3.0), ("lang", "en", 1.0), ("source", "s1", 0.5), ("source", "hot", 0.25), ("source", "s4", 0.25)], "dimension string, value string, share double")
+    rows = mixing.mix(docs(spark, corpus()), targets=targets).collect()
+    total = sum(r.mix_tokens for r in rows)
+    got = defaultdict(float)
+    for r in rows:
+        for d in mixing.DIMENSIONS:
+            got[d, r[f"mix_{d}"]] += r.mix_tokens * r.mix_weight / total
+    for (d, v), share in {("lang", "de"): 0.75, ("lang", "en"): 0.25, ("source", "s1"): 0.5, ("source", "hot"): 0.25, ("source", "s4"): 0.25, ("source", "s0"): 0}.items():
+        assert abs(got[d, v] - share) < 1e-8, (d, v)
+    assert not any(r.mix_sampled for r in rows if r.mix_source == "s0")
+    light = {r.doc_id: (r.mix_weight, r.mix_sampled) for r in mixing.mix_weights(docs(spark, corpus()), targets=targets).collect()}
+    assert light == {r.doc_id: (r.mix_weight, r.mix_sampled) for r in rows}
+
+
+def test_targets_that_cannot_be_met(spark):
+    with pytest.raises(ValueError, match="no document has"):
+        mixing.mix(docs(spark, corpus()), targets=spark.createDataFrame([("lang", "fr", 1.0)], "dimension string, value string, share double"))
+    rows = [(0, "a b", "en", "x"), (1, "a b c", "de", "y")]  # language and source go together
+    both = spark.createDataFrame([("lang", "en", 0.9), ("lang", "de", 0.1), ("source", "x", 0.1), ("source", "y", 0.9)], "dimension string, value string, share double")
+    with pytest.raises(ValueError, match="at once"):
+        mixing.mix(docs(spark, rows), targets=both, sweeps=8)
