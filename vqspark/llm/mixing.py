@@ -22,7 +22,7 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Share of all tokens that is expected to be kept.
 KEEP = 0.5
 #: Sweeps at most; between checks; and the relative gap of a marginal at which they end.
-SWEEPS, CHECK, TOLERANCE = 200, 4, 1e-10
+SWEEPS, CHECK, TOLERANCE = 200, 4, 1e-12
 #: Up to this many cells (about 120 bytes each) are fitted in one task and broadcast; beyond it both shuffle.
 FEW_CELLS = 50_000
 
@@ -178,7 +178,7 @@ def mix_weights(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] =
     return joined.withColumn("mix_sampled", F.col("_draw") < F.col("mix_probability")).drop("_draw")
 
 
-def mix_sql(keep: float = KEEP, powers: dict[str, float] = POWERS, sweeps: int = 24, seed: int = 8) -> str:
+def mix_sql(keep: float = KEEP, powers: dict[str, float] = POWERS, sweeps: int = 100, seed: int = 8) -> str:
     """The same in SQL over ``documents``, the sweeps written out: as many as bring the fit to its end."""
     steps = []
     for i in range(sweeps):
