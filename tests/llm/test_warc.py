@@ -6,6 +6,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from vqspark.llm import warc
 
 SCHEMA = "page_id long, url string, html string, digest string, size int, record_type string"
@@ -90,3 +92,12 @@ def test_what_lost_tasks_leave_is_removed(spark, tmp_path):
     (path / "part-000000-999999-0000.warc.gz").write_bytes(b"left by a task that was lost")
     warc.write_archive(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"), str(path))
     assert [r.page_id for r in warc.read_archive(spark, str(path)).collect()] == [1]
+
+
+def test_archives_that_are_cut_short():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 70000\r\n\r\n" + random.Random(2).randbytes(70_000) + b"\r\n\r\n"
+    data = b"".join(gzip.compress(record) for _ in range(3))
+    assert len(list(warc.records_of(data))) == 3 and not list(warc.records_of(b""))
+    for size in (1, 500, len(data) // 2, len(data) - 1):
+        with pytest.raises((ValueError, KeyError)):
+            list(warc.records_of(data[:size]))

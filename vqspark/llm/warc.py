@@ -150,29 +150,32 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
 class _Stream(io.RawIOBase):
     """What a gzip file of any number of members holds, without holding all of it."""
 
+    STEP = 1 << 14
+
     def __init__(self, data: bytes):
-        self.data, self.engine = memoryview(data), zlib.decompressobj(31)
+        self.data, self.at, self.engine, self.begun = memoryview(data), 0, zlib.decompressobj(31), False
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:
         while True:
-            out = self.engine.decompress(self.engine.unconsumed_tail or self._next(), len(buffer))
+            left = self.engine.unconsumed_tail
+            if not left:
+                left = self.data[self.at : self.at + self.STEP]
+                self.at += len(left)
+                self.begun |= bool(len(left))
+            out = self.engine.decompress(left, len(buffer))
+            if self.engine.eof:  # what follows in this step is the next member's
+                self.at -= len(self.engine.unused_data)
+                self.engine, self.begun = zlib.decompressobj(31), False
+            elif not out and not len(left):
+                if self.begun:
+                    raise ValueError("the archive is cut short")
+                return 0  # the file ended with its last member
             if out:
                 buffer[: len(out)] = out
                 return len(out)
-            if self.engine.eof:
-                rest = self.engine.unused_data + self.data.tobytes()
-                if not rest:
-                    return 0
-                self.data, self.engine = memoryview(rest), zlib.decompressobj(31)
-            elif not self.data and not self.engine.unconsumed_tail:
-                raise ValueError("the archive is cut short")
-
-    def _next(self) -> bytes:
-        part, self.data = self.data[: 1 << 20], self.data[1 << 20 :]
-        return bytes(part)
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
