@@ -87,6 +87,11 @@ def test_budgets_of_long_texts(library):
         whole = counter.index(text)
         for budget in (0, 3, 20, 90):
             assert tokens.fit_chars(counter, text, counter.count(text), budget) == whole.fit(budget)
+            assert counter.count_and_fit(text, budget) == (counter.count(text), whole.fit(budget))
+        single = " ".join(x for x in text.replace("<|endoftext|>", "\n").split(" ") if x)  # what is counted by chunks
+        whole = counter.index(single)
+        for budget in (0, 1, 2, 3, 5, 8, 20, 90, 200):
+            assert counter.count_and_fit(single, budget) == (whole.counts[-1], whole.fit(budget)), (single, budget)
 
 
 def test_stored_prefixes(spark, library):

@@ -183,6 +183,36 @@ class PrefixCounter:
             at = m.end()
         return total + self._plain_count(text[at:])
 
+    def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and the length of its longest prefix of at most ``budget`` tokens.
+
+        The counts at the ends of chunks tell where the budget is exceeded; only
+        the chunks around it are looked at by the program. They begin and end
+        where no white space goes on, so nothing outside changes their tokens.
+        """
+        if not text or "  " in text or text[-1] == " " or (self.specials is not None and self.specials.search(text)):
+            total = self.count(text)
+            return total, fit_chars(self, text, total, budget)
+        first, *rest = text.split(" ")
+        chunks = [first, *(" " + x for x in rest)]
+        counts = [self.chunk[first] if first else 0, *map(self.chunk.__getitem__, chunks[1:])]
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        white = _white_space()
+        sure = lambda j: not chunks[j] or chunks[j][-1] not in white
+        end, until = 0, counts[0]
+        while until <= budget or not sure(end):
+            if end + 1 == len(chunks):
+                return total, fit_chars(self, text, total, budget)
+            end += 1
+            until += counts[end]
+        start = end
+        while start and (not sure(start - 1) or until - sum(counts[start : end + 1]) > budget):
+            start -= 1
+        before = until - sum(counts[start : end + 1])
+        return total, sum(map(len, chunks[:start])) + self.index("".join(chunks[start : end + 1])).fit(budget - before)
+
     def index(self, text: str) -> PrefixIndex:
         return PrefixIndex(self, text)
 
@@ -307,11 +337,11 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
         counter = counter_of(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [counter.count(x or "") for x in texts]
-            columns = [batch.column(0), pa.array(counts, pa.int64()), batch.column(2)]
+            found = [(counter.count(x or ""), None) for x in texts] if budget is None else [counter.count_and_fit(x or "", budget) for x in texts]
+            columns = [batch.column(0), pa.array([n for n, _ in found], pa.int64()), batch.column(2)]
             names = ["doc_id", "n_tokens", "n_bytes"]
             if budget is not None:
-                columns.append(pa.array([fit_chars(counter, x or "", n, budget) for x, n in zip(texts, counts)], pa.int64()))
+                columns.append(pa.array([n for _, n in found], pa.int64()))
                 names.append("fit_chars")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
