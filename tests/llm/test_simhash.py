@@ -56,17 +56,9 @@ def test_against_force(spark):
     assert sorted(found, key=str) == groups_by_force(rows)
 
 
-def test_keeps_one_of_each(spark):
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r.doc_id for r in simhash.keep_one_each(docs).collect()), key=str)
-    assert kept == sorted({c for _, _, c in groups_by_force(rows)}, key=str)
-
-
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(docs).count() == 0
-    assert simhash.keep_one_each(docs).count() == 0
 
 
 @pytest.mark.parametrize("errors", [0, 1, 2])

@@ -177,11 +177,13 @@ def _verify(threshold: float):
                 places[rows, 0], places[rows, 1] = k, np.arange(len(rows))
             ids, weights, block, key, t, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo < 2 or len(np.unique(places[lo:hi, 0])) > 1:  # the key holds the length; only a hash clash mixes them
-                    continue
-                vectors = matrix[places[lo, 0]][1][places[lo:hi, 1]]
-                if x := _links_of(ids[lo:hi], weights[lo:hi], vectors, home[lo:hi], block[lo:hi], key[lo], int(t[lo]), threshold):
-                    got.append(x)
+                for k in np.unique(places[lo:hi, 0]) if hi - lo > 1 else ():  # the key holds the length; a hash clash mixes them
+                    own = lo + np.flatnonzero(places[lo:hi, 0] == k)
+                    if len(own) < 2:
+                        continue
+                    vectors = matrix[k][1][places[own, 1]]
+                    if x := _links_of(ids[own], weights[own], vectors, home[own], block[own], key[lo], int(t[lo]), threshold):
+                        got.append(x)
             if got:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*got)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "linked"])

@@ -72,17 +72,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         raw = b"".join(fingerprint(x.as_py()) for x in batch.column(1))
         fps = np.frombuffer(raw, ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "row_key"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, row_key)``: the fingerprint as a signed 64-bit integer, and a hash of id and text."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), _row_key(id_col, text_col).alias("row_key"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long, row_key long")
-
-
-def _row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    """``(doc_id, fp)``: the fingerprint as a signed 64-bit integer."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -161,7 +157,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """One row per input row: ``doc_id, fp, component_id, group_key, row_key``.
+    """One row per input row: ``doc_id, fp, component_id, group_key``.
 
     Documents link when their fingerprints differ in at most ``max_bits`` bits;
     ``component_id`` is the smallest doc_id reachable, itself included, and
@@ -177,15 +173,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = least.join(groups, "fp", "left").select("fp", "least", F.coalesce("group_key", "fp").alias("group_key"))
     firsts = of.groupBy("group_key").agg(F.min("least").alias("component_id"))
     named = of.select("fp", "group_key").join(firsts, "group_key")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "group_key", "row_key")
-
-
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
-
-    Of rows that repeat this id one stays; a row with a null id stays only where
-    no row of its group has an id.
-    """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    first = simhash_groups(docs, id_col, text_col).groupBy("group_key").agg(F.min(order)["row_key"].alias("_row_key"))
-    return docs.withColumn("_row_key", _row_key(id_col, text_col)).join(first.select("_row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "group_key")
