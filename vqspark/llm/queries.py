@@ -18,6 +18,20 @@ def op1_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95
+), r AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a
+), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+), c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("share", 6).alias("share"), "verbatim")
@@ -143,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_lattice_duplicates": OP1_SQL,
     "op4_warc_revisits": OP4_SQL,
     "op6_chat_paths": OP6_SQL,
     "op8_source_mix": mixing.mix_sql(),
