@@ -138,7 +138,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     """
     typed = resolve_revisits(_prepared(pages, id_col, url_col, html_col), min_bytes)
     own = typed.select("page_id", "url", "html", "digest", "row", "record_type", "refers_to", "original")
-    names = {r["name"] for r in own.mapInArrow(_write(path, date, file_bytes), "name string").toLocalIterator()}  # as many as files
+    names = {r["name"] for r in own.mapInArrow(_write(path, date, file_bytes), "name string").collect()}  # as many as files
     store, folder = _store(path)
     store.create_dir(folder, recursive=True)
     for file in store.get_file_info(fs.FileSelector(folder)):
