@@ -357,3 +357,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert "recall@10" in capsys.readouterr().out
     one, two = ([(r.query_id, r.rank, round(r.dist, 9)) for r in spark.read.parquet(path(f)).orderBy("query_id", "rank").collect()] for f in ("bytesf", "sequentialf"))
     assert one == two
+
+
+@pytest.mark.parametrize("fan", [lineage.FAN, 3])
+def test_differences_go_on_over_shards(spark, monkeypatch, fan):
+    """One sequence, whatever ids a task takes: shards of 4 ids, some of them missing, against the definition."""
+    monkeypatch.setattr(lineage, "FAN", fan)
+    code = np.repeat(random_codes(40, 8, 3), 2, axis=0)
+    ids = [i if i < 50 else i + 1000 for i in range(len(code))]
+    codes = spark.createDataFrame([(v, c.tolist()) for v, c in zip(ids, code)], "vec_id long, code array<int>")
+    index = diffindex.diff_index(codes.repartition(5), 8, rows=4)
+    changed = np.vstack([np.ones((1, 8), bool), code[1:] != code[:-1]])
+    found = {r.vec_id: (r.mask, r.cids) for r in index.collect()}
+    assert found == {v: (int((x << np.arange(8)).sum()), c[x].tolist()) for v, c, x in zip(ids, code, changed)}
+    n = int(changed[1:].sum())
+    assert [tuple(r) for r in diffindex.index_bytes(index, 8).collect()] == [(80, n, 8 + 16 + n + 79)]
+    assert {r.vec_id: r.code for r in diffindex.decode_index(index, 8).collect()} == {v: c.tolist() for v, c in zip(ids, code)}
+    assert [tuple(r) for r in diffindex.index_bytes(diffindex.diff_index(codes.limit(0), 8), 8).collect()] == [(0, None, None)]

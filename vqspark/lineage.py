@@ -84,3 +84,24 @@ def running_total(rows: DataFrame, key: str, value: str, name: str = "total") ->
     until = running_total(runs, run, sums, "until").select(run, (F.col("until") - F.col(sums)).alias(before))
     within = F.sum(value).over(Window.partitionBy(run).orderBy(key))
     return own.join(until, run).withColumn(name, F.col(before) + within).drop(run, before)
+
+
+def last_before(rows: DataFrame, run: str, order: str, values: list[str]) -> DataFrame:
+    """``rows`` with ``<value>_before`` for each of ``values``: the last that isn't null in the rows before, by the whole numbers ``run`` and ``order``.
+
+    Runs are gone through in tasks of their own, and so are the ends of runs, level by level.
+    """
+
+    def within(part, by: str) -> dict:
+        before = Window.partitionBy(part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return {f"{v}_before": F.last(v, ignorenulls=True).over(before) for v in values}
+
+    ends = cut(rows.groupBy(run).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values)))
+    few = ends.limit(FAN + 1).count() <= FAN
+    if few:
+        found = ends.withColumns(within(F.lit(0), run))
+    else:
+        found = last_before(ends.withColumn(f"{run}_run", F.floor(F.col(run) / FAN)), f"{run}_run", run, values)
+    starts = found.select(run, *(F.col(f"{v}_before").alias(f"{v}_start") for v in values))
+    own = rows.withColumns(within(run, order)).join(F.broadcast(starts) if few else starts, run)
+    return own.withColumns({f"{v}_before": F.coalesce(f"{v}_before", f"{v}_start") for v in values}).drop(*(f"{v}_start" for v in values))
