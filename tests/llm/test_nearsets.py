@@ -1,7 +1,9 @@
 """Near-duplicate groups by five-word shingles against all pairs."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from vqspark.llm import nearsets
@@ -96,3 +98,45 @@ def test_a_crowd_of_near_copies(spark, monkeypatch, block):
     assert max(r["count"] for r in groups) >= 297
     pairs = nearsets.keep_one_each(docs).count()
     assert pairs == len(groups)
+
+
+@pytest.mark.parametrize("block", [nearsets.BLOCK, 32])
+def test_links_that_a_tree_leaves_out(spark, monkeypatch, block):
+    """Crowds whose similarities lie on both sides of the threshold: the groups are those of all pairs that meet under a key."""
+    monkeypatch.setattr(nearsets, "BLOCK", block)
+    rng = random.Random(4)
+    texts = []
+    for n in (60, 150, 400):
+        words = [f"w{n}x{i}" for i in range(n)]
+        texts += [edited(rng, words, rng.choice([1, 2, 3]) * n // 80) for _ in range(120)]
+    found = [nearsets.shingles(t.encode()) for t in texts]
+    keys = [set(x.tolist()) for x in nearsets.keys_of(nearsets.best_codewords(np.stack([nearsets.margins(s) for s in found])).astype(np.int64))]
+    sets = [sets_of(t) for t in texts]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if up[i] != up[j] and keys[i] & keys[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {}
+    for r in nearsets.near_groups(docs).collect():
+        group.setdefault(r.group_key, []).append(r.doc_id)
+    want = {}
+    for i, x in enumerate(up):
+        want.setdefault(x, []).append(i)
+    assert sorted(map(sorted, group.values())) == sorted(want.values()) and 3 < len(want) < len(texts)
+
+
+def test_bounds_and_counts_of_sets():
+    """Sets differ in at least as many shingles as parities, and shared ones are counted over several rounds of columns."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, n)) for n in (0, 1, 5, 3000, 8000, 20000)]
+    found = nearsets.shared_counts(sets)
+    for i, j in combinations(range(len(sets)), 2):
+        assert found[i, j] == found[j, i] == len(np.intersect1d(sets[i], sets[j]))
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[:n]).encode() for n in (0, 3, 5, 200, 300)] + [edited(random.Random(i), words, 5).encode() for i in range(9)]
+    found = [nearsets.shingles(t) for t in texts]
+    for x in found:
+        for y in found:
+            assert np.bitwise_count((nearsets.parities(x) ^ nearsets.parities(y)).view(np.uint64)).sum() <= len(set(x) ^ set(y))
